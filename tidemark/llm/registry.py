@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, simhash, toxicity
+from tidemark.llm import decontaminate, mixing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op5_toxicity": toxicity.op5_toxicity,
         "op8_simhash": simhash.op8_simhash,
