@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, simhash, toxicity
+from tidemark.llm import decontaminate, language, mixing, neighbours, simhash, token_ids, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_language": language.op6_language,
+        "op7_warc": warc.op7_warc,
         "op8_simhash": simhash.op8_simhash,
+        "op9_token_ids": token_ids.op9_token_ids,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
