@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, mixing, neighbours, simhash, token_ids, toxicity, warc
+from tidemark.llm import chat, decontaminate, language, mixing, neighbours, simhash, token_ids, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_chat": chat.op3_chat,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_language": language.op6_language,
         "op7_warc": warc.op7_warc,
@@ -25,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_chat": chat.OP3_SQL,
     }
