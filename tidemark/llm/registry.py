@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, language, mixing, neighbours, simhash, token_ids, toxicity, warc
+from tidemark.llm import chat, decontaminate, language, mixing, neighbours, quality, simhash, token_ids, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_chat": chat.op3_chat,
+        "op4_quality": quality.op4_quality,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_language": language.op6_language,
         "op7_warc": warc.op7_warc,
