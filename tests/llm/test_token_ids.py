@@ -38,6 +38,22 @@ def test_pieces_have_the_ids_of_the_text(encoder, text):
     assert encoder.encode(text) == encoder.direct(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Word.", "a,", "don't", "x!?", "é", "<|endoftext|>", "12.", "漢字", "\n", "\n\n", "...", "end.\nNew"]), max_size=30))
+def test_words_have_the_ids_of_the_text(encoder, words):
+    text = " ".join(words)
+    assert encoder.encode(text) == encoder.direct(text)
+    text = text.replace(" \n", "\n").replace("\n ", "\n")
+    assert encoder.encode(text) == encoder.direct(text)
+
+
+def test_long_texts_are_cut_where_nothing_changes(encoder, monkeypatch):
+    monkeypatch.setattr(encoder, "PART", 20)
+    monkeypatch.setattr(encoder, "MEMORY", 10)
+    text = "Some words,  some  more. And a line\n and\n\nanother one that goes on and on and on.  " * 30 + "\t x"
+    assert encoder.encode(text) == encoder.direct(text)
+
+
 def test_special_strings_and_words(encoder):
     for text in ("a <|endoftext|> b", "x<|endoftext|>y\nz", "it's don't  we'll", "\n\na\n b \n", "a\u0085b c", "a\x1cb c"):
         assert encoder.encode(text) == encoder.direct(text)

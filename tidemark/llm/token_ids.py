@@ -23,6 +23,8 @@ vector operation per selector.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -146,67 +148,99 @@ class Encoder:
     """Encodes texts piece by piece, remembering the ids of short pieces.
 
     A single space or line feed between two other characters always bounds the
-    byte-level pre-tokens: the space opens the next one, the line feed is one of
-    its own. So such pieces have the same ids alone as in their text.
+    byte-level pre-tokens: the space opens the next one, a line feed is one of
+    its own (two are two). So such pieces have the same ids alone as in their
+    text. Texts with other white space are encoded whole.
     """
 
-    MEMORY = 400_000
-    SHORT = 48
+    MEMORY = 300_000
+    SHORT = 40
+    #: Characters that are cut into pieces at a time.
+    PART = 1 << 20
+    #: A word and what closes it are pre-tokens of their own.
+    CLOSED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.feed = self.direct("\n")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def piece(self, text: str) -> bytes:
-        ids = self.direct(text)
-        if len(text) <= self.SHORT:
-            if len(self.known) >= self.MEMORY:
-                self.known.clear()
-            self.known[text] = ids
-        return ids
-
-    def line(self, line: str) -> list[bytes]:
-        get, out = self.known.get, []
-        first, *rest = line.split(" ")
-        pieces = [first]
-        plain = not line.isspace() and "  " not in line
-        if plain and all(map(str.isprintable, rest)):
-            pieces += [" " + r for r in rest]
-        else:  # white space beside a space keeps its neighbours together
-            for r in rest:
-                if r and not r[0].isspace() and pieces[-1] and not pieces[-1][-1].isspace():
-                    pieces.append(" " + r)
-                else:
-                    pieces[-1] += " " + r
+    def keep(self, piece: str, ids: bytes) -> None:
+        """Remember; what was not seen again since the last time this was full is forgotten."""
+        if len(self.new) >= self.MEMORY:
+            self.old, self.new = self.new, {}
+        self.new[piece] = ids
+
+    def pieces(self, text: str) -> list[str] | None:
+        """Pieces that can be encoded alone, or None."""
+        if not text.replace("\n", "").isprintable() or any(x in text for x in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n"):
+            return None
+        if any(x in text for x in self.special):  # they part a text before anything else does
+            return None
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def parts(self, text: str) -> list[str]:
+        """Long texts cut at single spaces."""
+        out, at = [], 0
+        while len(text) - at > self.PART:
+            k = text.find(" ", at + self.PART)
+            while k > 0 and (text[k - 1].isspace() or text[k + 1 : k + 2].isspace()):
+                k = text.find(" ", k + 1)
+            if k < 0:
+                break
+            out.append(text[at:k])
+            at = k
+        return [*out, text[at:]]
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not remembered."""
+        found: dict[str, bytes] = {}
+        words: dict[str, tuple[str, str]] = {}
         for p in pieces:
-            ids = get(p)
-            out.append(self.piece(p) if ids is None else ids)
-        return out
+            if p in self.old:
+                found[p] = self.old[p]
+            elif m := self.CLOSED.fullmatch(p):
+                words[p] = m.groups()
+        wanted = [p for p in pieces if p not in found and p not in words]
+        for half in {h for w in words.values() for h in w}:
+            if (ids := self.new.get(half) or self.old.get(half)) is not None:
+                found[half] = ids
+            elif half not in pieces:
+                wanted.append(half)
+        for p, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False) if wanted else ()):
+            found[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for p, (a, b) in words.items():
+            found[p] = found[a] + found[b]
+        for p, ids in found.items():
+            if len(p) <= self.SHORT:
+                self.keep(p, ids)
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for text in texts:
+            out = []
+            for part in self.parts(text or ""):
+                pieces = self.pieces(part)
+                if pieces is None:
+                    out.append(self.direct(part))
+                    continue
+                ids = [*map(self.new.get, pieces)]
+                if None in ids:
+                    more = self.learn({p for p, i in zip(pieces, ids) if i is None})
+                    ids = [more[p] if i is None else i for p, i in zip(pieces, ids)]
+                out += ids
+            yield b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        held = ""
-        for k, line in enumerate(text.split("\n")):
-            if not k:
-                held = line
-            elif held and line and not held[-1].isspace() and not line[0].isspace():
-                out += self.line(held)
-                out.append(self.feed)
-                held = line
-            else:  # longer white space isn't cut
-                held += "\n" + line
-        if "\n" in held:
-            out.append(self.direct(held))
-        elif held:
-            out += self.line(held)
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
 
 class _Write:
@@ -226,8 +260,8 @@ class _Write:
             return pd.DataFrame({"block": [block(ids, shard, number, before, docs)]})
 
         for pdf in parts:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.frombuffer((encoder.encode(text) if text else b"") + end, dtype="<u4")
+            for doc_id, ids in zip(pdf["doc_id"], encoder.encode_all(pdf["text"])):
+                ids = np.frombuffer(ids + end, dtype="<u4")
                 while size + len(ids) > BLOCK_IDS:
                     held.append(ids[: BLOCK_IDS - size])
                     ids = ids[BLOCK_IDS - size :]

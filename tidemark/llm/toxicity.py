@@ -121,17 +121,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     if not len(x) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return 0.0, float(np.log(p / (1 - p)))
-    a = np.stack([x, np.ones_like(x)], 1)
+    scale = max(float(x.std()), 1e-9)
+    a = np.stack([x / scale, np.ones_like(x)], 1)
+    cost = lambda w: float(np.logaddexp(0, (1 - 2 * y) * (a @ w)).sum() + ridge * w[0] ** 2 / 2)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (p - y) + ridge * np.array([w[0], 0])
         h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-6])
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step, size = np.linalg.solve(h, g), 1.0
+        while cost(w - size * step) > cost(w) and size > 1e-6:  # a full step may overshoot where the classes part
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    return float(max(w[0] / scale, 0.0)), float(w[1])
 
 
 def _contexts(parts):
