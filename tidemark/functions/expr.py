@@ -134,6 +134,10 @@ class X:
         need = p if least is None else least
         args = ", ".join([self.sql, *(x.sql for x in more)])
         call = f"{name}({args}) OVER {{w}}"
+        if name == "corr":  # the built-in one fails on a column without variance
+            a, o = self.sql, more[0].sql
+            spread = " * ".join(f"stddev_pop(CASE WHEN {q} IS NOT NULL THEN {p} END) OVER {{w}}" for p, q in ((a, o), (o, a)))
+            call = f"try_divide(covar_pop({args}) OVER {{w}}, {spread})"
         x = self._mix(self.sql, *more)
         if not need:
             return x.over(call, p)

@@ -39,6 +39,7 @@ def _names(sql: str, columns: set[str]) -> set[str]:
 
 def run(df: DataFrame, b: Builder, results: dict[str, X], keys: Sequence[str], order: str, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns of ``df`` and ``results`` by name."""
+    results = {name: x.column() for name, x in results.items()}  # worked out as soon as they can be, not carried in parts
     places = lambda s: s.replace(KEYS, ", ".join(f"`{k}`" for k in keys)).replace(ORDER, f"`{order}`")
     levels = max([0, *(lv for lv, _ in b.stages), *(lv + 1 for lv in b.kernels), *(x.level for x in results.values())])
     for level in range(levels + 1):
@@ -100,7 +101,7 @@ class Pipeline:
             out = run(bars, b, results, [self.pair], self.ts, kept)
         for f in across:
             out = f.transform(out, ts=self.ts)
-        return out.select(*(f"`{c}`" for c in [*keep, *self.outputs]))
+        return out.select(*(f"`{c}`" for c in [*keep, *dict.fromkeys(self.outputs)]))
 
     def _chunked(self, bars: DataFrame, b: Builder, results: dict[str, X], keep: list[str]) -> DataFrame:
         day = F.date_trunc("day", F.col(self.ts).cast("timestamp_ntz"))
