@@ -50,11 +50,21 @@ WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPES = (8, 10, 12, 15)
 
 
-def _slot_bytes(v: np.ndarray) -> float:
-    """About how many bytes ``v`` takes: each id its share of the narrowest word that holds it."""
-    share = np.array([8 / COUNTS[k] for k in range(2, 16)])
-    edges = np.array([1 << w for w in WIDTHS[2:]], dtype=np.uint64)
-    return float(share[np.searchsorted(edges, v, side="right")].sum())
+#: Bytes of an id that needs a width: its share of a word.
+_SHARE = np.array([8 / c for c in COUNTS[2:]])
+_EDGES = np.array([1 << w for w in WIDTHS[2:]], dtype=np.uint64)
+
+
+def escape_width(v: np.ndarray) -> int:
+    """The width past which ids are best escaped, 0 for none, by what each id costs about."""
+    held = np.bincount(np.searchsorted(_EDGES, v, side="right"), minlength=len(_SHARE))[: len(_SHARE)]
+    costs = {0: float(held @ _SHARE)}
+    for e in ESCAPES:
+        k = WIDTHS.index(e) - 2
+        over = held[k + 1 :].sum()
+        if over:
+            costs[e] = float(held[: k + 1] @ _SHARE[: k + 1]) + over * (_SHARE[k] + 4)
+    return min(costs, key=costs.get)
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -64,25 +74,35 @@ def pack(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype="<u8")
     best = np.full(n, 15, dtype=np.uint8)
-    at = np.arange(n)
     for sel in range(14, -1, -1):
-        # ids from each place on that fit this width
-        wide = np.where(v >> np.uint64(WIDTHS[sel]) if WIDTHS[sel] else v, at, n)
-        run = np.minimum.accumulate(wide[::-1])[::-1] - at
-        best[run >= COUNTS[sel]] = sel
-    places, sels = [], []
-    chosen, i = best.tolist(), 0
+        # stretches between ids too wide; each place in one that has a word's worth left can start such a word
+        wide = np.concatenate([[-1], np.flatnonzero(v >= np.uint64(1 << WIDTHS[sel])), [n]])
+        gaps = np.diff(wide) - COUNTS[sel]
+        long = np.flatnonzero(gaps > 0)
+        if not len(long):
+            continue
+        sizes, first = gaps[long], wide[long] + 1
+        if len(long) * 4 > n // COUNTS[sel]:
+            ends = np.cumsum(sizes)
+            best[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)] = sel
+        else:
+            for a, m in zip(first.tolist(), sizes.tolist()):
+                best[a : a + m] = sel
+    after = (np.arange(n) + np.array(COUNTS)[best]).tolist()
+    places, i = [], 0
     while i < n:
         places.append(i)
-        sels.append(chosen[i])
-        i += COUNTS[chosen[i]]
-    start, sel = np.array(places), np.array(sels)
+        i = after[i]
+    start = np.array(places)
+    sel = best[start]
     words = sel.astype(np.uint64) << np.uint64(60)
     for k in np.unique(sel):
         if k > 1:
             rows = np.flatnonzero(sel == k)
-            ids = v[start[rows][:, None] + np.arange(COUNTS[k])]
-            words[rows] |= np.bitwise_or.reduce(ids << (np.arange(COUNTS[k], dtype=np.uint64) * np.uint64(WIDTHS[k])), axis=1)
+            at, own = start[rows], words[rows]
+            for j in range(COUNTS[k]):
+                own |= v[at + j] << np.uint64(j * WIDTHS[k])
+            words[rows] = own
     return words.astype("<u8")
 
 
@@ -105,12 +125,7 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 def block(ids: np.ndarray, shard: int, number: int, before: int, docs: list[tuple[int | None, int]]) -> bytes:
     """One block; ``docs`` has the id and the end of each document that ends in it."""
     v = np.asarray(ids, dtype=np.uint64)
-    width, cost = 0, _slot_bytes(v)
-    for e in ESCAPES:
-        code = np.uint64((1 << e) - 1)
-        over = int((v >= code).sum())
-        if over and (c := _slot_bytes(np.minimum(v, code)) + 4 * over) < cost:
-            width, cost = e, c
+    width = escape_width(v)
     escaped = np.zeros(0, dtype="<u4")
     if width:
         code = np.uint64((1 << width) - 1)
@@ -160,6 +175,8 @@ class Encoder:
     #: A word and what closes it are pre-tokens of their own.
     CLOSED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
+    CLOSERS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -172,12 +189,6 @@ class Encoder:
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def keep(self, piece: str, ids: bytes) -> None:
-        """Remember; what was not seen again since the last time this was full is forgotten."""
-        if len(self.new) >= self.MEMORY:
-            self.old, self.new = self.new, {}
-        self.new[piece] = ids
-
     def pieces(self, text: str) -> list[str] | None:
         """Pieces that can be encoded alone, or None."""
         if not text.replace("\n", "").isprintable() or any(x in text for x in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n"):
@@ -199,43 +210,65 @@ class Encoder:
             at = k
         return [*out, text[at:]]
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that are not remembered."""
-        found: dict[str, bytes] = {}
-        words: dict[str, tuple[str, str]] = {}
-        for p in pieces:
-            if p in self.old:
-                found[p] = self.old[p]
-            elif m := self.CLOSED.fullmatch(p):
-                words[p] = m.groups()
-        wanted = [p for p in pieces if p not in found and p not in words]
-        for half in {h for w in words.values() for h in w}:
-            if (ids := self.new.get(half) or self.old.get(half)) is not None:
-                found[half] = ids
-            elif half not in pieces:
-                wanted.append(half)
-        for p, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False) if wanted else ()):
+    def learn(self, unknown: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not at hand; short ones are remembered.
+
+        What was not seen again since the memory was last full is forgotten.
+        """
+        found = {p: self.old[p] for p in unknown if p in self.old}
+        rest = unknown - found.keys()
+        closed = {p: m.groups() for p in rest if p[-1:] in self.CLOSERS and (m := self.CLOSED.fullmatch(p))}
+        halves = {h for pair in closed.values() for h in pair}
+        found |= {h: ids for h in halves - found.keys() if (ids := self.new.get(h) or self.old.get(h)) is not None}
+        wanted = (rest - closed.keys()) | halves - found.keys()
+        found |= self.words([p for p in wanted if p[:1] == " " and p[1:].isalpha()], "")
+        found |= self.words([p for p in wanted if p.isalpha()], "\n")
+        odd = [p for p in wanted if p not in found]
+        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
             found[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for p, (a, b) in words.items():
-            found[p] = found[a] + found[b]
-        for p, ids in found.items():
-            if len(p) <= self.SHORT:
-                self.keep(p, ids)
+        for p, (word, end) in closed.items():
+            found[p] = found[word] + found[end]
+        if len(self.new) >= self.MEMORY:
+            self.old, self.new = self.new, {}
+        self.new |= {p: ids for p, ids in found.items() if len(p) <= self.SHORT}
         return found
 
+    def words(self, words: list[str], between: str) -> dict[str, bytes]:
+        """The ids of words of letters, in one call: each is a pre-token, opened by its own space or parted by a line feed."""
+        if not words:
+            return {}
+        e = self.tokenizer.encode(between.join(words), add_special_tokens=False)
+        ids, of = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
+        cuts = [0, *(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), len(ids)]
+        step = 2 if between else 1
+        if len(cuts) != step * len(words) - step + 2:  # some letter is none to the tokenizer
+            return {}
+        return {w: ids[i:j] for w, i, j in zip(words, cuts[::step], cuts[1::step])}
+
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        held, size = [], 0
         for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= self.PART:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [[(part, self.pieces(part)) for part in self.parts(text)] for text in texts]
+        unknown = {p for parts in cut for _, pieces in parts for p in pieces or () if p not in self.new}
+        more = self.learn(unknown)
+        for parts in cut:
             out = []
-            for part in self.parts(text or ""):
-                pieces = self.pieces(part)
+            for part, pieces in parts:
                 if pieces is None:
                     out.append(self.direct(part))
                     continue
                 ids = [*map(self.new.get, pieces)]
                 if None in ids:
-                    more = self.learn({p for p, i in zip(pieces, ids) if i is None})
-                    ids = [more[p] if i is None else i for p, i in zip(pieces, ids)]
+                    ids = [x if x is not None else more.get(p) or self.old.get(p) or self.direct(p) for p, x in zip(pieces, ids)]
                 out += ids
             yield b"".join(out)
 
@@ -243,6 +276,10 @@ class Encoder:
         return next(self.encode_all([text]))
 
 
+#: Encoders by path: a worker keeps what it remembers from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class _Write:
     """Blocks of the documents of one partition, in order."""
 
@@ -252,7 +289,8 @@ class _Write:
     def __call__(self, parts):
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(self.path), TaskContext.get().partitionId()
+        encoder, shard = _ENCODERS.get(self.path) or Encoder(self.path), TaskContext.get().partitionId()
+        _ENCODERS[self.path] = encoder
         held, size, number, before, docs = [], 0, 0, 0, []
         end = np.array([END_ID], dtype="<u4").tobytes()
 
