@@ -71,3 +71,11 @@ def test_the_test_table(spark):
     found = sorted((tuple(r) for r in warc.op7_warc(spark, "/root/testdata/sf0.01").collect()), key=str)
     assert found == expected(rows)
     assert pages.where(F.col("html").contains(warc.MAGIC)).count() >= 0
+
+
+def test_the_sql():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES (1, 'a'), (2, 'a'), (3, NULL), (4, ''), (5, 'é')) t(page_id, html)")
+    assert sorted(con.execute(warc.OP7_SQL).fetchall(), key=str) == expected([(1, "a"), (2, "a"), (3, None), (4, ""), (5, "é")])
