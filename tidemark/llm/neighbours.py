@@ -23,9 +23,9 @@ REVERSE = 20
 TREES = 3
 BLOCK = 256
 PIVOTS = 512
-ROUNDS = 6
-BEAM = 64
-EXPAND = 12
+ROUNDS = 4
+BEAM = 48
+EXPAND = 24
 MAX_HOPS = 40
 TOP = 10
 
@@ -127,11 +127,10 @@ def _start(spark: SparkSession, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
-    """(mid, member, new): every node's list and up to ``REVERSE`` links to it, nearest first."""
+    """(mid, member, new): every node's list and up to ``REVERSE`` links to it, nearest first; a pair that links both ways comes twice."""
     back = Window.partitionBy("nbr").orderBy("d", "node")
     to = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE)
-    both = graph.select(F.col("node").alias("mid"), F.col("nbr").alias("member"), "new").unionByName(to.select(F.col("nbr").alias("mid"), F.col("node").alias("member"), "new"))
-    return both.groupBy("mid", "member").agg(F.max("new").alias("new"))
+    return graph.select(F.col("node").alias("mid"), F.col("nbr").alias("member"), "new").unionByName(to.select(F.col("nbr").alias("mid"), F.col("node").alias("member"), "new"))
 
 
 def _pairs(parts):
@@ -160,7 +159,7 @@ def _joined(pdf: pd.DataFrame, cuts: list[int]):
         d = _squares(x, x)
         fresh = new[lo:hi]
         use = (fresh[:, None] | fresh[None, :]) & (d < worst[lo:hi, None])
-        np.fill_diagonal(use, False)
+        use &= node[lo:hi, None] != node[None, lo:hi]
         i, j = np.nonzero(use)
         if len(i):
             out.append((node[lo + i], node[lo + j], d[i, j]))
@@ -168,19 +167,18 @@ def _joined(pdf: pd.DataFrame, cuts: list[int]):
         yield pd.DataFrame({"node": np.concatenate([x[0] for x in out]), "nbr": np.concatenate([x[1] for x in out]), "d": np.concatenate([x[2] for x in out])})
 
 
-def build(spark: SparkSession, nodes: DataFrame, settled_share: float = 0.002) -> DataFrame:
+def build(spark: SparkSession, nodes: DataFrame, settled_share: float = 0.01) -> DataFrame:
     """The neighbour graph (node, nbr, d squared) of ``nodes`` (node, dim, b)."""
     n = nodes.count()
     graph = _start(spark, nodes, n)
     for k in range(ROUNDS):
         worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("c")).select("node", F.when(F.col("c") >= K, F.col("worst")).otherwise(float("inf")).alias("worst"))
         known = nodes.select("node", "b").join(worst, "node", "left").select(F.col("node").alias("member"), "b", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        entries = _both_ways(graph)
-        live = entries.groupBy("mid").agg(F.max("new").alias("any")).where("any").select("mid")
-        local = entries.join(live, "mid", "left_semi").join(known, "member")
-        local = local.select("mid", "member", "new", "worst", "b").repartition("mid").sortWithinPartitions("mid")
-        found = local.mapInPandas(_pairs, "node long, nbr long, d double").groupBy("node", "nbr").agg(F.min("d").alias("d")).withColumn("new", F.lit(True))
-        merged = graph.withColumn("new", F.lit(False)).unionByName(found).groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        local = _both_ways(graph).join(known, "member").select("mid", "member", "new", "worst", "b")
+        local = local.repartition("mid").sortWithinPartitions("mid")
+        found = local.mapInPandas(_pairs, "node long, nbr long, d double").withColumn("new", F.lit(True))
+        # by node, which does for the list as well; a pair of the old list is not new
+        merged = graph.withColumn("new", F.lit(False)).unionByName(found).repartition("node").groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         after = common.settle(spark, _top(merged), f"nn-{k}")
         changed = after.where("new").count()
         common.discard(spark, graph)
@@ -209,19 +207,23 @@ def search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: Dat
     def measured(pairs: DataFrame) -> DataFrame:
         return pairs.join(nodes, "node").join(q, "query_id").select("query_id", "node", "dim", "qb", "b").mapInPandas(_distances, "query_id long, node long, d double")
 
-    state = common.settle(spark, queries.select("query_id", "node", F.lit(0.0).alias("d"), F.lit(False).alias("done")), "nn-beam")
-    near = Window.partitionBy("query_id").orderBy("d", "node")
-    turn = Window.partitionBy("query_id").orderBy("done", "d", "node")
+    def ranked(rows: DataFrame) -> DataFrame:
+        """The beam, and which of it is expanded next."""
+        near = Window.partitionBy("query_id").orderBy("d", "node")
+        turn = Window.partitionBy("query_id").orderBy("done", "d", "node")
+        kept = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= beam).drop("r")
+        return kept.withColumn("go", ~F.col("done") & (F.row_number().over(turn) <= EXPAND))
+
+    state = common.settle(spark, queries.select("query_id", "node", F.lit(0.0).alias("d"), F.lit(False).alias("done"), F.lit(True).alias("go")), "nn-beam")
     for k in range(MAX_HOPS):
-        ranked = state.withColumn("t", F.row_number().over(turn)).withColumn("go", ~F.col("done") & (F.col("t") <= EXPAND))
-        ranked = common.settle(spark, ranked.select("query_id", "node", "d", "done", "go"), f"nn-hop-{k}")
-        seen = ranked.select("query_id", "node")
-        reached = ranked.where("go").select("query_id", "node").join(links, "node").select("query_id", F.col("nbr").alias("node")).distinct().join(seen, ["query_id", "node"], "left_anti")
-        grown = ranked.select("query_id", "node", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(measured(reached).withColumn("done", F.lit(False)))
-        after = common.settle(spark, grown.withColumn("r", F.row_number().over(near)).where(F.col("r") <= beam).drop("r"), f"nn-beam-{k}")
-        common.discard(spark, state, ranked)
+        reached = state.where("go").join(links, "node").select("query_id", F.col("nbr").alias("node"), F.lit(None).cast("double").alias("d"), F.lit(False).alias("done"))
+        rows = state.select("query_id", "node", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(reached)
+        rows = common.settle(spark, rows.groupBy("query_id", "node").agg(F.max("d").alias("d"), F.max("done").alias("done")), f"nn-hop-{k}")
+        fresh = measured(rows.where("d is null").select("query_id", "node")).withColumn("done", F.lit(False))
+        after = common.settle(spark, ranked(rows.where("d is not null").unionByName(fresh)), f"nn-beam-{k}")
+        common.discard(spark, state, rows)
         state = after
-        if not state.where("not done").limit(1).count():
+        if not state.where("go").limit(1).count():
             break
     common.discard(spark, links)
     return state.select("query_id", "node", "d")
