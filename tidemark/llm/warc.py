@@ -18,6 +18,8 @@ from tidemark.llm import common
 MAGIC = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
 ROUNDS = 48
+#: Cut pieces up to which their files' names are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -184,10 +186,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     owner = F.last(F.when(F.col("real"), F.col("offset")), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
     inner = real.withColumn("at", owner).join(cut.select("f", F.col("at").alias("a")), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a"))).select(*key, "at", "offset")
     inner = common.settle(spark, inner, "warc-cut")
+    n_cut = inner.count()
+    if not n_cut:
+        return whole
+    files = inner.select("file").distinct()
+    files = F.broadcast(files) if n_cut <= BROADCAST_ROWS else files
     place = F.row_number().over(Window.partitionBy("file", "part").orderBy("seq"))
-    ranks = found.select(*key).join(inner.select("file").distinct(), "file", "left_semi").withColumn("place", place)
+    ranks = found.select(*key).join(files, "file", "left_semi").withColumn("place", place)
     inner = inner.join(ranks, key).select("file", "part", "place", "at", "offset")
-    texts = pieces(spark, path).join(inner.select("file").distinct(), "file", "left_semi").withColumn("place", place)
+    texts = pieces(spark, path).join(files, "file", "left_semi").withColumn("place", place)
     texts = texts.join(inner, ["file", "part", "place"])
     joined = texts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("offset", F.col("body").cast("binary").alias("b")))).alias("p"))
     body = F.array_join(F.transform("p", lambda x: x["b"].cast("string")), MAGIC).cast("binary")
