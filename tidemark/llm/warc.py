@@ -18,7 +18,7 @@ from tidemark.llm import common
 MAGIC = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
 ROUNDS = 48
-#: Cut pieces up to which their files' names are broadcast.
+#: Groups of copies, or cut pieces, up to which what is known of them is broadcast (some 50 bytes each).
 BROADCAST_ROWS = 100_000
 
 
@@ -48,7 +48,9 @@ def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload")).where(F.octet_length("payload") >= least_bytes)
     copies = narrow.select("page_id", base32_sha1(F.col("payload")).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(copies, "digest", "left")
+    copies = common.settle(pages.sparkSession, copies, "warc-copies")
+    # few groups of copies spare the payloads a shuffle; beyond the bound they are shuffled by digest
+    joined = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "digest", "left")
     keeper = F.when((F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return joined.withColumn("keeper", keeper)
 
