@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.OP2_SQL,
         "op3_chat": chat.OP3_SQL,
+        "op7_warc": warc.OP7_SQL,
     }

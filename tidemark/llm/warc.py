@@ -231,3 +231,14 @@ def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> D
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, common.table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda k: translate(lpad(to_base(CAST('0x' || substr(x, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT), 32), 4, '0'),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
