@@ -58,3 +58,10 @@ def test_few_rows(spark):
         df = spark.createDataFrame([(k * 100, [float(k + 1), 1.0]) for k in range(n)], "vec_id long, embedding array<double>")
         got = results(neighbours.nearest(spark, df))
         assert got == {} if n < 2 else {q: len(v) for q, v in got.items()} == {k * 100: n - 1 for k in range(n)}
+
+
+def test_recall_keeps_the_whole_search(spark):
+    sf = "/root/testdata/check_s"
+    rows = common.table(spark, sf, "embeddings").collect()
+    want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=float))
+    assert recall(want, results(neighbours.op10_neighbours(spark, sf))) >= 0.86

@@ -23,8 +23,8 @@ REVERSE = 20
 TREES = 3
 BLOCK = 256
 PIVOTS = 512
-ROUNDS = 4
-BEAM = 48
+ROUNDS = 6
+BEAM = 64
 EXPAND = 24
 MAX_HOPS = 40
 TOP = 10
@@ -167,7 +167,7 @@ def _joined(pdf: pd.DataFrame, cuts: list[int]):
         yield pd.DataFrame({"node": np.concatenate([x[0] for x in out]), "nbr": np.concatenate([x[1] for x in out]), "d": np.concatenate([x[2] for x in out])})
 
 
-def build(spark: SparkSession, nodes: DataFrame, settled_share: float = 0.01) -> DataFrame:
+def build(spark: SparkSession, nodes: DataFrame, settled_share: float = 0.002) -> DataFrame:
     """The neighbour graph (node, nbr, d squared) of ``nodes`` (node, dim, b)."""
     n = nodes.count()
     graph = _start(spark, nodes, n)
