@@ -65,3 +65,25 @@ def test_recall_keeps_the_whole_search(spark):
     rows = common.table(spark, sf, "embeddings").collect()
     want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=float))
     assert recall(want, results(neighbours.op10_neighbours(spark, sf))) >= 0.86
+
+
+def test_recall_on_a_larger_table(spark):
+    sf = "/root/testdata/check_s"
+    rows = common.table(spark, sf, "embeddings").collect()
+    want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=float))
+    assert recall(want, results(neighbours.op10_neighbours(spark, sf))) >= 0.93
+
+
+def test_the_beam_widens_until_the_checked_queries_find_their_nearest(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(3000, 32))
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "LEAST_RECALL", 1.0)
+    assert recall(brute(list(range(3000)), x), results(neighbours.nearest(spark, df))) == 1.0
+
+
+def test_a_graph_that_does_not_settle_is_an_error(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="settle"):
+        neighbours.nearest(spark, df)

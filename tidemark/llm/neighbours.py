@@ -6,10 +6,15 @@ the neighbours (both ways) of every node with each other and keeps what is
 nearer than the worst of a node's list. A query starts at its own node and
 expands the nearest nodes that it has not yet expanded, until its beam holds
 only expanded ones.
+
+The beam starts from the number of nodes. A sample of the queries is compared
+with all vectors, and the beam doubles until enough of their nearest are found.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,11 +28,15 @@ REVERSE = 20
 TREES = 3
 BLOCK = 256
 PIVOTS = 512
-ROUNDS = 6
+#: Rounds and hops end when nothing is left to do; running out of them is an error.
+ROUNDS = 40
 BEAM = 64
 EXPAND = 24
 MAX_HOPS = 40
 TOP = 10
+#: Queries compared with all vectors, and the share of their nearest to find: 0.9 and room for the sample's error.
+CHECKED = 128
+LEAST_RECALL = 0.93
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -184,8 +193,8 @@ def build(spark: SparkSession, nodes: DataFrame, settled_share: float = 0.002) -
         common.discard(spark, graph)
         graph = after
         if changed <= settled_share * K * n:
-            break
-    return graph.select("node", "nbr", "d")
+            return graph.select("node", "nbr", "d")
+    raise RuntimeError(f"the neighbour graph did not settle in {ROUNDS} rounds")
 
 
 def _distances(parts):
@@ -212,7 +221,7 @@ def search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: Dat
         near = Window.partitionBy("query_id").orderBy("d", "node")
         turn = Window.partitionBy("query_id").orderBy("done", "d", "node")
         kept = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= beam).drop("r")
-        return kept.withColumn("go", ~F.col("done") & (F.row_number().over(turn) <= EXPAND))
+        return kept.withColumn("go", ~F.col("done") & (F.row_number().over(turn) <= max(EXPAND, beam // 2)))
 
     state = common.settle(spark, queries.select("query_id", "node", F.lit(0.0).alias("d"), F.lit(False).alias("done"), F.lit(True).alias("go")), "nn-beam")
     for k in range(MAX_HOPS):
@@ -224,14 +233,68 @@ def search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: Dat
         common.discard(spark, state, rows)
         state = after
         if not state.where("go").limit(1).count():
-            break
-    common.discard(spark, links)
-    return state.select("query_id", "node", "d")
+            common.discard(spark, links)
+            return state.select("query_id", "node", "d")
+    raise RuntimeError(f"the search did not end in {MAX_HOPS} hops")
+
+
+class _Exact:
+    """The distances of each query's ``TOP`` nearest other nodes among a task's rows."""
+
+    def __init__(self, queries: list[tuple[int, int, bytes]]):
+        self.queries = queries
+
+    def __call__(self, parts):
+        near = {q: np.empty(0) for q, _, _ in self.queries}
+        for pdf in parts:
+            size, node = pdf["b"].map(len).to_numpy(), pdf["node"].to_numpy()
+            for length in np.unique(size):
+                at = np.flatnonzero(size == length)
+                x = _matrix([pdf["b"].iloc[k] for k in at])
+                for q, own, b in self.queries:
+                    if len(b) == length:
+                        d = np.sqrt(((x - np.frombuffer(b, dtype="<f8")) ** 2).sum(1))[node[at] != own]
+                        near[q] = np.sort(np.concatenate([near[q], d]))[:TOP]
+        yield pd.DataFrame([(q, d) for q, ds in near.items() for d in ds], columns=["query_id", "d"]).astype({"query_id": "int64", "d": "float64"})
+
+
+def exact(spark: SparkSession, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, node, far, c) of up to ``CHECKED`` queries: the distance of the last of the c <= ``TOP`` nearest nodes, by comparing with all."""
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CHECKED).select("query_id", "node", "b").collect()
+    d = nodes.select("node", "b").mapInPandas(_Exact([(r["query_id"], r["node"], bytes(r["b"])) for r in some]), "query_id long, d double")
+    w = Window.partitionBy("query_id").orderBy("d")
+    far = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOP).groupBy("query_id").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("c"))
+    return common.settle(spark, far.join(queries.select("query_id", "node"), "query_id"), "nn-exact")
+
+
+def recall(found: DataFrame, checked: DataFrame) -> float:
+    """The share of the nearest nodes of the queries of :func:`exact` that ``found`` (query_id, node, d) holds; 1 without any."""
+    own = checked.select("query_id", F.col("node").alias("own"), "far", "c")
+    near = found.join(F.broadcast(own), "query_id").where((F.col("node") != F.col("own")) & (F.col("d") <= F.col("far") * (1 + 1e-12)))
+    hits = near.groupBy("query_id").agg(F.least(F.count(F.lit(1)), F.first("c")).alias("h")).agg(F.sum("h")).first()[0]
+    total = checked.agg(F.sum("c")).first()[0]
+    return (hits or 0) / total if total else 1.0
+
+
+def found_by_search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`search` with a beam wide enough for ``LEAST_RECALL`` on the checked queries."""
+    n = nodes.count()
+    checked, beam = exact(spark, nodes, queries), max(BEAM, 2 * math.isqrt(n))
+    while True:
+        found = search(spark, nodes, graph, queries, beam)
+        share = recall(found, checked)
+        if share >= LEAST_RECALL:
+            common.discard(spark, checked)
+            return found
+        if beam >= n:
+            raise RuntimeError(f"recall {share:.3f} with a beam of all {n} nodes")
+        beam *= 2
 
 
 def nearest(spark: SparkSession, table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest found of every row whose id is divisible by ``every``.
 
+    At least 0.9 of the true nearest are meant to be found; see :func:`found_by_search`.
     See :func:`vectors` for the rows that take part; vectors of different
     lengths are no candidates of each other. Ties go to the smaller vec_id.
     """
@@ -245,7 +308,7 @@ def nearest(spark: SparkSession, table: DataFrame, every: int = 100, top: int =
     graph = build(spark, nodes)
     own = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "b").join(nodes.select("node", "b"), "b")
     own = common.settle(spark, own.select("query_id", "node", "b"), "nn-queries")
-    found = search(spark, nodes, graph, own)
+    found = found_by_search(spark, nodes, graph, own)
     ids = found.join(members, "node").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     return ids.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
