@@ -87,3 +87,31 @@ def test_the_query(spark):
     got = mixing.op1_mixing(spark, "/root/testdata/sf0.001").collect()
     assert len({r.doc_id for r in got}) == len(got) == 200
     assert all(r.taken <= 3 * r["size"] for r in got)
+
+
+def odd_ids():
+    """Rows without an id, exact repeated rows, and different rows under one id."""
+    rows = [(k, "w " * (5 + k % 7), "abc"[k % 3], k) for k in range(300)]
+    return rows + [(None, f"n{k} " * (3 + k), "c", k) for k in range(5)] + [(7, "w " * 12, "b", 7)] * 2 + [(9, "other words here", "c", 1)]
+
+
+def test_the_stage_takes_each_row_as_often_as_planned(spark):
+    docs = frame(spark, odd_ids())
+    planned = {}
+    for r in mixing.plan(spark, docs).rows.collect():
+        key = (r.doc_id, r.source, r["size"])
+        planned[key] = planned.get(key, 0) + r.copies
+    got = {}
+    for r in mixing.mix_stage(spark, docs, "").collect():
+        key = (r.doc_id, r.source, len(WORD.findall(r.text)))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: c for k, c in planned.items() if c}
+    assert any(k[0] is None for k in got) and mixing.mix_stage(spark, docs, "").columns == docs.columns
+
+
+def test_the_query_reports_each_row(spark, tmp_path):
+    frame(spark, odd_ids()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op1_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(odd_ids())
+    assert all(r.taken <= 3 * r["size"] for r in got)
+    assert sum(r.taken for r in got if r.doc_id is None) > 0

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch to Python at most. Texts may be very long, so batches are kept short.
 BATCH_ROWS = 256
 
+#: The column that :func:`numbered` adds.
+ROW = "_row"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +44,11 @@ def settle(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def numbered(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """``df`` settled with a key of its rows, for ids that may be null or repeated."""
+    return settle(spark, df.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def discard(spark: SparkSession, *settled: DataFrame | str) -> None:
     """Delete settled tables that nothing reads any more."""
     for x in settled:

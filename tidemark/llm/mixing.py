@@ -58,7 +58,7 @@ def targets(sizes: list[tuple[str | None, int]], weights=(1, 2, 3), most: float
 
 @dataclass
 class Plan:
-    """What a mix takes: one row per document row, with the copies taken."""
+    """What a mix takes: one row per document row (``row`` is its key, as ids may be null or repeated), with the copies taken."""
 
     rows: DataFrame
     seed: int
@@ -77,9 +77,11 @@ def plan(spark: SparkSession, documents: DataFrame, weights=(1, 2, 3), most: flo
     class first, and shorter classes make good what longer ones left or
     overshot. A document is taken when its middle lies within its class's
     quota. A null text has size 0; a null source is a source; repeated rows are
-    documents of their own; empty tables give empty mixes.
+    documents of their own; empty tables give empty mixes. A column ``_row`` is
+    taken as the key of the rows; without it they are numbered here.
     """
-    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    row = F.col(common.ROW) if common.ROW in documents.columns else F.monotonically_increasing_id()
+    sized = documents.select(row.alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     sized = sized.withColumn("class", sum((F.col("size") > c).cast("int") for c in CLASSES))
     # blocks: runs of the permuted order, in buckets of the hash whose number follows the data
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -133,7 +135,7 @@ def plan(spark: SparkSession, documents: DataFrame, weights=(1, 2, 3), most: flo
     rows = rows.join(F.broadcast(q), rows["source"].eqNullSafe(q["qs"]) & (rows["class"] == q["qc"])).drop("qs", "qc")
     extra = (F.col("share") > 0) & (F.col("middle") <= F.col("quota")) & (F.col("size") > 0)
     rows = rows.withColumn("copies", F.least(F.col("base") + extra.cast("int"), F.lit(int(most))))
-    return Plan(common.settle(spark, rows.select("doc_id", "source", "size", "source_size", "target", "copies", "class", "bucket", "h"), "mix-plan"), seed)
+    return Plan(common.settle(spark, rows.select("row", "doc_id", "source", "size", "source_size", "target", "copies", "class", "bucket", "h"), "mix-plan"), seed)
 
 
 class _Tree:
@@ -166,7 +168,7 @@ class _Tree:
 
 
 def mix(spark: SparkSession, made: Plan, shard_words: int = 50_000_000) -> DataFrame:
-    """doc_id, source, size, copy, shard and place of every taken copy; ``place`` orders a shard."""
+    """row, doc_id, source, size, copy, shard and place of every taken copy; ``place`` orders a shard."""
     blocks = made.rows.where("copies > 0").select("source", "class", "bucket", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "size").groupBy("source", "class", "bucket", "copy").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(made.seed + 1), "class", "bucket", "copy"), "class", "bucket", "copy")
     blocks = common.settle(spark, blocks.withColumn("p", F.row_number().over(order) - 1), "mix-blocks")
@@ -180,21 +182,21 @@ def mix(spark: SparkSession, made: Plan, shard_words: int = 50_000_000) -> DataF
     b = common.settle(spark, b.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("u"), F.col("copy").alias("y"), "shard"), "mix-drawn")
     d = made.rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = d.join(b, d["source"].eqNullSafe(F.col("s")) & (d["class"] == F.col("c")) & (d["bucket"] == F.col("u")) & (d["copy"] == F.col("y")))
-    return out.select("doc_id", "source", "size", "copy", "shard", F.xxhash64(F.lit(made.seed + 2), "shard", "doc_id", "copy").alias("place"))
+    return out.select("row", "doc_id", "source", "size", "copy", "shard", F.xxhash64(F.lit(made.seed + 2), "shard", "doc_id", "copy").alias("place"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = plan(spark, common.table(spark, sf_dir, "documents"))
     drawn = common.settle(spark, mix(spark, made), "mix-draws")
-    taken = drawn.groupBy("doc_id").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("draws"))
-    rows = made.rows.select("doc_id", "size", "source_size", "target", "copies").join(taken, "doc_id", "left")
+    taken = drawn.groupBy("row").agg(F.sum("size").alias("words"))
+    rows = made.rows.select("row", "doc_id", "size", "source_size", "target").join(taken, "row", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as many times as the mix takes it."""
-    made = plan(spark, docs)
-    drawn = common.settle(spark, mix(spark, made), "mix-draws")
-    copies = drawn.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    out = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """Pipeline stage: each document row as many times as the mix takes it."""
+    rows = common.numbered(spark, docs, "mix-rows")
+    drawn = common.settle(spark, mix(spark, plan(spark, rows)), "mix-draws")
+    copies = drawn.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    out = rows.join(copies, rows[common.ROW] == copies["row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(docs.columns)
