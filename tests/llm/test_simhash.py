@@ -89,3 +89,16 @@ def test_the_test_table(spark):
     got = simhash.op8_simhash(spark, sf).collect()
     assert len(got) == len(prints)
     assert all(r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == want[r.doc_id] for r in got)
+
+
+def test_the_stage_keeps_one_row_of_each_group(spark):
+    text, other = " ".join(f"word{k}" for k in range(400)), " ".join(f"other{k}" for k in range(50))
+    rows = [(5, text), (3, text), (3, text), (9, text.replace("word7 ", "wordx ")), (4, "quite another text"), (4, "quite another text"), (None, other), (None, other), (None, text), (4, "an unlike row under one id")]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, fp int")
+    prints = {k: brute_print(t) for k, (_, t) in enumerate(rows)}
+    groups = {}
+    for k, c in brute_components(prints).items():
+        groups.setdefault(c, []).append((rows[k][0] is None, rows[k][0] or 0))
+    got = simhash.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(min(g) for g in groups.values())

@@ -144,7 +144,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the row with the smallest doc_id stays."""
-    found = near_duplicates(spark, docs)
-    keep = found.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """Pipeline stage: of each group of near copies one row stays, the one with the smallest doc_id.
+
+    Rows are told apart by a key of their own, so of repeated rows one stays,
+    and rows without an id are linked like any other and stay only where their
+    group has no id.
+    """
+    rows = common.numbered(spark, docs, "simhash-rows")
+    prints = rows.select(F.col(common.ROW).alias("doc_id"), "text")
+    found = near_duplicates(spark, prints).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(common.ROW).alias("row"))
+    keep = rows.select(common.ROW, "doc_id").join(found, F.col(common.ROW) == F.col("row")).groupBy("component_id").agg(F.min(first).alias("x"))
+    return rows.join(keep.select(F.col("x.row").alias("kept")), F.col(common.ROW) == F.col("kept"), "left_semi").select(docs.columns)
