@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -84,3 +85,14 @@ def test_the_test_table(spark):
         ids = (encoder.direct(r.text) if r.text else b"") + bytes(4)
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
+
+
+def test_other_tokenizer_files_are_encoded_whole(encoder):
+    spec = json.loads(encoder.tokenizer.to_str())
+    assert token_ids.Encoder.cuts(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"dropout": 0.1}}):
+        assert not token_ids.Encoder.cuts(spec | change)
+    other = token_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.plain
+    text = "Some WORDS here.\nAnd it's more " * 20
+    assert other.encode(text) == other.direct(text) and list(other.encode_all([text, None])) == [other.direct(text), b""]

@@ -23,6 +23,8 @@ vector operation per selector.
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 import struct
@@ -50,44 +52,59 @@ WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPES = (8, 10, 12, 15)
 
 
-#: Bytes of an id that needs a width: its share of a word.
-_SHARE = np.array([8 / c for c in COUNTS[2:]])
-_EDGES = np.array([1 << w for w in WIDTHS[2:]], dtype=np.uint64)
+#: Bytes of an id by the selector it needs: its share of a word; none for a run of zeros.
+_SHARE = np.array([0, 0, *(8 / c for c in COUNTS[2:])])
+_EDGES = np.array([1 << w for w in WIDTHS[1:]], dtype=np.uint64)
+#: The selector that each id below 2^16 needs.
+_NEEDS = (np.searchsorted(_EDGES, np.arange(1 << 16, dtype=np.uint64), side="right") + (np.arange(1 << 16) > 0)).astype(np.uint8)
 
 
-def escape_width(v: np.ndarray) -> int:
+def needs(v: np.ndarray) -> np.ndarray:
+    """The last selector that holds most ids of each one's width: 0 for zeros, then 2 and up."""
+    if not len(v) or v.max() < len(_NEEDS):
+        return _NEEDS[v]
+    return (np.searchsorted(_EDGES, v, side="right") + (v > 0)).astype(np.uint8)
+
+
+def escape_width(need: np.ndarray) -> int:
     """The width past which ids are best escaped, 0 for none, by what each id costs about."""
-    held = np.bincount(np.searchsorted(_EDGES, v, side="right"), minlength=len(_SHARE))[: len(_SHARE)]
+    held = np.bincount(need, minlength=len(_SHARE))
     costs = {0: float(held @ _SHARE)}
     for e in ESCAPES:
-        k = WIDTHS.index(e) - 2
+        k = WIDTHS.index(e)
         over = held[k + 1 :].sum()
         if over:
             costs[e] = float(held[: k + 1] @ _SHARE[: k + 1]) + over * (_SHARE[k] + 4)
     return min(costs, key=costs.get)
 
 
-def pack(values: np.ndarray) -> np.ndarray:
+def _selectors(need: np.ndarray) -> np.ndarray:
+    """The selector of a word that starts at each id: the first whose every id fits.
+
+    The greatest need in a window is that of two windows half as long, so all
+    window lengths take a few passes over the ids.
+    """
+    n = len(need)
+    best = np.full(n, len(COUNTS) - 1, dtype=np.uint8)
+    size, most = 1, need
+    for sel in range(len(COUNTS) - 1, -1, -1):
+        count = COUNTS[sel]
+        if count > n:
+            break
+        while 2 * size <= count:
+            most, size = np.maximum(most[:-size], most[size:]), 2 * size
+        whole = np.maximum(most[: n - count + 1], most[count - size : n - size + 1])
+        best[: n - count + 1][whole <= sel] = sel
+    return best
+
+
+def pack(values: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
     """Simple-8b words of ids below 2^60, greedily as many ids per word as fit."""
     v = np.asarray(values, dtype=np.uint64)
     n = len(v)
     if not n:
         return np.zeros(0, dtype="<u8")
-    best = np.full(n, 15, dtype=np.uint8)
-    for sel in range(14, -1, -1):
-        # stretches between ids too wide; each place in one that has a word's worth left can start such a word
-        wide = np.concatenate([[-1], np.flatnonzero(v >= np.uint64(1 << WIDTHS[sel])), [n]])
-        gaps = np.diff(wide) - COUNTS[sel]
-        long = np.flatnonzero(gaps > 0)
-        if not len(long):
-            continue
-        sizes, first = gaps[long], wide[long] + 1
-        if len(long) * 4 > n // COUNTS[sel]:
-            ends = np.cumsum(sizes)
-            best[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)] = sel
-        else:
-            for a, m in zip(first.tolist(), sizes.tolist()):
-                best[a : a + m] = sel
+    best = _selectors(needs(v) if need is None else need)
     after = (np.arange(n) + np.array(COUNTS)[best]).tolist()
     places, i = [], 0
     while i < n:
@@ -125,13 +142,14 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 def block(ids: np.ndarray, shard: int, number: int, before: int, docs: list[tuple[int | None, int]]) -> bytes:
     """One block; ``docs`` has the id and the end of each document that ends in it."""
     v = np.asarray(ids, dtype=np.uint64)
-    width = escape_width(v)
+    need = needs(v)
+    width = escape_width(need)
     escaped = np.zeros(0, dtype="<u4")
     if width:
         code = np.uint64((1 << width) - 1)
         escaped = v[v >= code].astype("<u4")
-        v = np.minimum(v, code)
-    words = pack(v)
+        v, need = np.minimum(v, code), np.minimum(need, np.uint8(WIDTHS.index(width)))
+    words = pack(v, need)
     table = np.zeros(len(docs), dtype=DOC)
     for k, (doc_id, end) in enumerate(docs):
         table[k] = (0 if doc_id is None else doc_id, doc_id is None, end)
@@ -159,39 +177,65 @@ def blocks(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarr
         at = d + 5  # crc and line feed
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array.array("I", ids).tobytes()
+
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for what follows U+0100, in order.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+
+
 class Encoder:
     """Encodes texts piece by piece, remembering the ids of short pieces.
 
-    A single space or line feed between two other characters always bounds the
-    byte-level pre-tokens: the space opens the next one, a line feed is one of
-    its own (two are two). So such pieces have the same ids alone as in their
-    text. Texts with other white space are encoded whole.
+    A byte-level pre-tokenizer starts a new pre-token at a single space between
+    two other characters and makes a line feed one of its own (two are two), so
+    such pieces have the same ids alone as in their text. Pieces of ASCII and
+    Latin letters fall into pre-tokens by :attr:`PARTS`, which go straight to
+    the tokenizer's model. Texts with other white space, and all texts of a
+    tokenizer whose file says anything else (:meth:`cuts`), are encoded whole.
     """
 
-    MEMORY = 300_000
+    #: Pieces learned until the memory is sorted out, and pieces met again that are kept at most.
+    MEMORY, KEPT = 300_000, 300_000
     SHORT = 40
     #: Characters that are cut into pieces at a time.
     PART = 1 << 20
-    #: A word and what closes it are pre-tokens of their own.
-    CLOSED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
-
-    CLOSERS = frozenset(".,;:!?")
+    #: ASCII signs but the apostrophe, which may open a contraction.
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Pieces that PARTS can cut.
+    PLAIN = re.compile("[ ]?[!-&(-~À-ÖØ-öø-ÿ]+")
+    #: Pre-tokens of a plain piece: letters, digits or signs, with the space before them.
+    PARTS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+|[ ]?[0-9]+|[ ]?[!-&(-/:-@\\[-`{-~]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
+        self.plain = self.cuts(json.loads(self.tokenizer.to_str()))
+        self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def cuts(spec: dict) -> bool:
+        """Whether a tokenizer file's pre-tokens are the ones that this class relies on."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        splits = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        bare = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        own = all(t["special"] and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", ()))
+        return splits and bare and own and model.get("type") == "BPE" and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> list[str] | None:
         """Pieces that can be encoded alone, or None."""
-        if not text.replace("\n", "").isprintable() or any(x in text for x in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n"):
+        if not self.plain or not text.replace("\n", "").isprintable() or any(x in text for x in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n"):
             return None
         if any(x in text for x in self.special):  # they part a text before anything else does
             return None
@@ -199,6 +243,8 @@ class Encoder:
 
     def parts(self, text: str) -> list[str]:
         """Long texts cut at single spaces."""
+        if not self.plain:
+            return [text]
         out, at = [], 0
         while len(text) - at > self.PART:
             k = text.find(" ", at + self.PART)
@@ -211,39 +257,44 @@ class Encoder:
         return [*out, text[at:]]
 
     def learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that are not at hand; short ones are remembered.
+        """Take up the ids of pieces that are not at hand; returns those of pieces too long to be remembered.
 
-        What was not seen again since the memory was last full is forgotten.
+        When the memory is full, what was met in two of its times stays, what
+        was learned last gets a second chance, and the rest is forgotten.
         """
-        found = {p: self.old[p] for p in unknown if p in self.old}
-        rest = unknown - found.keys()
-        closed = {p: m.groups() for p in rest if p[-1:] in self.CLOSERS and (m := self.CLOSED.fullmatch(p))}
-        halves = {h for pair in closed.values() for h in pair}
-        found |= {h: ids for h in halves - found.keys() if (ids := self.new.get(h) or self.old.get(h)) is not None}
-        wanted = (rest - closed.keys()) | halves - found.keys()
-        found |= self.words([p for p in wanted if p[:1] == " " and p[1:].isalpha()], "")
-        found |= self.words([p for p in wanted if p.isalpha()], "\n")
-        odd = [p for p in wanted if p not in found]
+        if len(self.new) >= self.MEMORY + len(self.kept):
+            if len(self.kept) > self.KEPT:
+                self.kept = {"": b""}
+            self.old, self.new = self.new, dict(self.kept)
+        new, old, kept, long, odd = self.new, self.old, self.kept, {}, []
+        for p in unknown:
+            if (ids := old.get(p)) is not None:
+                kept[p] = new[p] = ids
+                continue
+            w = p.rstrip(self.SIGNS)
+            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                parts = (w, p[len(w) :]) if len(w) < len(p) else (w,)
+            elif self.PLAIN.fullmatch(p):
+                parts = self.PARTS.findall(p)
+            else:
+                odd.append(p)
+                continue
+            ids = b""
+            for w in parts:
+                if (x := new.get(w)) is None:
+                    x = old.get(w) or self.word(w)
+                    if len(w) <= self.SHORT:
+                        new[w] = x
+                ids += x
+            (new if len(p) <= self.SHORT else long)[p] = ids
         for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
-            found[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for p, (word, end) in closed.items():
-            found[p] = found[word] + found[end]
-        if len(self.new) >= self.MEMORY:
-            self.old, self.new = self.new, {}
-        self.new |= {p: ids for p, ids in found.items() if len(p) <= self.SHORT}
-        return found
-
-    def words(self, words: list[str], between: str) -> dict[str, bytes]:
-        """The ids of words of letters, in one call: each is a pre-token, opened by its own space or parted by a line feed."""
-        if not words:
-            return {}
-        e = self.tokenizer.encode(between.join(words), add_special_tokens=False)
-        ids, of = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
-        cuts = [0, *(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), len(ids)]
-        step = 2 if between else 1
-        if len(cuts) != step * len(words) - step + 2:  # some letter is none to the tokenizer
-            return {}
-        return {w: ids[i:j] for w, i, j in zip(words, cuts[::step], cuts[1::step])}
+            (new if len(p) <= self.SHORT else long)[p] = _bytes(e.ids)
+        return long
+
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token of ASCII and Latin letters."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return _bytes([t.id for t in self.model.tokenize(mapped.replace(" ", "\u0120"))])
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -257,20 +308,25 @@ class Encoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [[(part, self.pieces(part)) for part in self.parts(text)] for text in texts]
-        unknown = {p for parts in cut for _, pieces in parts for p in pieces or () if p not in self.new}
-        more = self.learn(unknown)
-        for parts in cut:
-            out = []
-            for part, pieces in parts:
+        flat: list[str] = []
+        spans: list[list[bytes | tuple[int, int]]] = []  # of each text: ids, or where its pieces stand
+        for text in texts:
+            spans.append([])
+            for part in self.parts(text):
+                pieces = self.pieces(part)
                 if pieces is None:
-                    out.append(self.direct(part))
-                    continue
-                ids = [*map(self.new.get, pieces)]
-                if None in ids:
-                    ids = [x if x is not None else more.get(p) or self.old.get(p) or self.direct(p) for p, x in zip(pieces, ids)]
-                out += ids
-            yield b"".join(out)
+                    spans[-1].append(self.direct(part))
+                else:
+                    spans[-1].append((len(flat), len(flat) + len(pieces)))
+                    flat += pieces
+        ids = [*map(self.new.get, flat)]
+        missing = [k for k, x in enumerate(ids) if x is None]
+        long, get = self.learn({flat[k] for k in missing}), self.new.get
+        for k in missing:
+            p = flat[k]
+            ids[k] = long[p] if (x := get(p)) is None else x
+        for span in spans:
+            yield b"".join(x if isinstance(x, bytes) else b"".join(ids[x[0] : x[1]]) for x in span)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
