@@ -7,14 +7,18 @@ nearer than the worst of a node's list. A query starts at its own node and
 expands the nearest nodes that it has not yet expanded, until its beam holds
 only expanded ones.
 
-The beam starts from the number of nodes. A sample of the queries is compared
-with all vectors, and the beam doubles until enough of their nearest are found.
+The graph is built from single-precision vectors around a common centre, so
+few bytes travel and far-off origins cost no precision; what the search finds
+is measured on the original doubles. List length, blocks and beam don't depend
+on the number of nodes, so the work grows with it in proportion. Rounds end by the
+lists' recall, measured on nodes compared with all vectors, or when nothing
+changes. A sample of the queries is compared with all vectors as well; where too few
+of their nearest were found the beam doubles, and after the last beam all
+queries are compared with all vectors, in blocks.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,19 +26,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-K = 20
+#: Neighbours in a node's list; on vectors without structure (64 independent dimensions) half as many lose a tenth of the recall.
+K = 48
 #: Links to a node that a round or a search follows, besides its own list.
-REVERSE = 20
-TREES = 3
-BLOCK = 256
+REVERSE = 48
+#: Orders that the vectors are cut into starting blocks by, and a block's rows, fewer where vectors are long.
+TREES = 8
+BLOCK = 4096
 PIVOTS = 512
-#: Rounds and hops end when nothing is left to do; running out of them is an error.
+#: Bytes of vectors that a block, a set of pivots or a broadcast holds at most.
+VECTOR_BYTES = 32 << 20
+#: Lengths of vectors that get a centre and pivots of their own, commonest first; other lengths are ordered by a projection only.
+DIMS = 16
+#: Rounds and hops end as said below; running out of them is an error.
 ROUNDS = 40
-BEAM = 64
+BEAMS = (64, 128, 256)
 EXPAND = 24
-MAX_HOPS = 40
+MAX_HOPS = 200
 TOP = 10
-#: Queries compared with all vectors, and the share of their nearest to find: 0.9 and room for the sample's error.
+#: Nodes and queries compared with all vectors, and the share of their nearest to find: 0.9 and room for the sample's error.
 CHECKED = 128
 LEAST_RECALL = 0.93
 
@@ -60,86 +70,133 @@ def _pack(parts):
         yield pd.DataFrame({"vec_id": pdf["vec_id"], "dim": np.array([len(x) for x in v], dtype=np.int32), "b": [x.tobytes() for x in v]})
 
 
-def _matrix(b) -> np.ndarray:
-    return np.frombuffer(b"".join(b), dtype="<f8").reshape(len(b), -1)
+def _matrix(b, dim: int) -> np.ndarray:
+    """Vectors of ``dim`` components, of doubles or floats."""
+    b = list(b)
+    return np.frombuffer(b"".join(b), dtype="<f8" if len(b[0]) == 8 * dim else "<f4").reshape(len(b), dim)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances; the common centre goes first, as large terms would cancel."""
+    centre = b.mean(0)
+    a, b = a - centre, b - centre
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
-class _Cells:
-    """The pivot nearest to each vector, and a random projection to order a cell by."""
+def _sized(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= VECTOR_BYTES else df
+
 
-    def __init__(self, pivots: dict[int, bytes], seed: int):
-        self.pivots, self.seed = pivots, seed
+class _Narrow:
+    """Vectors as floats around a centre; doubles as they are where their length has none."""
+
+    def __init__(self, centres: dict[int, bytes]):
+        self.centres = centres
 
     def __call__(self, parts):
         for pdf in parts:
-            cell, along = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
-            for dim in pdf["dim"].unique():
-                at = np.flatnonzero((pdf["dim"] == dim).to_numpy())
-                x = _matrix([pdf["b"].iloc[k] for k in at])
-                if dim in self.pivots:
-                    cell[at] = _squares(x, np.frombuffer(self.pivots[dim], dtype="<f8").reshape(-1, dim)).argmin(1)
-                along[at] = x @ np.random.default_rng([self.seed, int(dim)]).normal(size=dim)
-            yield pd.DataFrame({"node": pdf["node"], "dim": pdf["dim"], "b": pdf["b"], "cell": cell, "along": along})
-
-
-def _nearest(nodes: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest others of each row."""
-    d = _squares(x, x)
-    np.fill_diagonal(d, np.inf)
-    k = min(k, len(nodes) - 1)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return pd.DataFrame({"node": np.repeat(nodes, k), "nbr": nodes[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()})
-
-
-def _blocks(parts):
-    """Nearest others within blocks of twice ``BLOCK`` rows that overlap by half."""
-    held = pd.DataFrame({"node": [], "dim": [], "b": []})
-
-    def near(pdf):
-        for dim in pdf["dim"].unique():
-            own = pdf[pdf["dim"] == dim]
-            if len(own) > 1:
-                yield _nearest(own["node"].to_numpy(dtype=np.int64), _matrix(list(own["b"])), K)
+            out = []
+            for b, dim in zip(pdf["b"], pdf["dim"]):
+                if dim in self.centres:
+                    with np.errstate(over="ignore"):
+                        x = (np.frombuffer(b, "<f8") - np.frombuffer(self.centres[dim], "<f8")).astype("<f4")
+                    b = x.tobytes() if np.isfinite(x).all() else b
+                out.append(b)
+            yield pd.DataFrame({"node": pdf["node"], "dim": pdf["dim"], "x": out})
 
-    for pdf in parts:
-        held = pd.concat([held, pdf[["node", "dim", "b"]]], ignore_index=True) if len(held) else pdf[["node", "dim", "b"]]
-        while len(held) >= 2 * BLOCK:
-            yield from near(held.iloc[: 2 * BLOCK])
-            held = held.iloc[BLOCK:]
-    if len(held):
-        yield from near(held)
 
+class _Cells:
+    """For every tree the pivot nearest to each vector, and a random projection to order a cell by."""
+
+    def __init__(self, pivots: list[dict[int, np.ndarray]]):
+        self.pivots = pivots
 
-def _top(edges: DataFrame, k: int = K) -> DataFrame:
+    def __call__(self, parts):
+        for pdf in parts:
+            wide = pdf["x"].map(len)
+            groups = [(dim, at, _matrix(pdf["x"].iloc[at], dim)) for (dim, _), at in pdf.groupby([pdf["dim"], wide]).indices.items()]
+            for tree, pivots in enumerate(self.pivots):
+                cell, along = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
+                for dim, at, x in groups:
+                    if dim in pivots:
+                        cell[at] = _squares(x, pivots[dim].astype(x.dtype)).argmin(1)
+                    along[at] = x @ np.random.default_rng([tree, int(dim)]).normal(size=dim)
+                yield pd.DataFrame({"tree": tree, "node": pdf["node"], "dim": pdf["dim"], "x": pdf["x"], "cell": cell, "along": along})
+
+
+def _mixed(x, dim: int) -> np.ndarray:
+    """:func:`_matrix` of vectors that may be of either precision."""
+    if len({len(v) for v in x}) == 1:
+        return _matrix(x, dim)
+    return np.stack([np.frombuffer(v, "<f8" if len(v) == 8 * dim else "<f4").astype(float) for v in x])
+
+
+def _near(most: int):
+    """A function that finds the ``most`` nearest others of each row of a block that are of its tree and length."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, near, dist = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.float32)]
+        for (_, dim), own in pdf.groupby(["tree", "dim"]):
+            nodes, x = own["node"].to_numpy(dtype=np.int64), _mixed(own["x"], int(dim))
+            k = min(most, len(nodes) - 1)
+            for at in range(0, len(nodes) if k else 0, 256):
+                d = _squares(x[at : at + 256], x)
+                d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+                best = np.argpartition(d, k - 1, axis=1)[:, :k]
+                node.append(np.repeat(nodes[at : at + 256], k))
+                near.append(nodes[best].ravel())
+                dist.append(np.take_along_axis(d, best, 1).ravel().astype(np.float32))
+        return pd.DataFrame({"node": np.concatenate(node), "nbr": np.concatenate(near), "d": np.concatenate(dist)})
+
+    return one
+
+
+def _top(edges: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("node").orderBy("d", "nbr")
     return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def _start(spark: SparkSession, nodes: DataFrame, n: int) -> DataFrame:
-    dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(16).collect()]
-    edges = None
-    for seed in range(TREES):
-        pivots = {}
+def _narrowed(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(node, dim, x): what the graph is built from, and the commonest lengths."""
+    dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(DIMS).collect() if 8 * r["dim"] * DIMS <= VECTOR_BYTES]
+    centres = {r["dim"]: bytes(r["b"]) for r in nodes.where(F.col("dim").isin(dims)).groupBy("dim").agg(F.min_by("b", "node").alias("b")).collect()} if dims else {}
+    return common.settle(spark, nodes.select("node", "dim", "b").mapInPandas(_Narrow(centres), "node long, dim int, x binary"), "nn-narrow"), dims
+
+
+def _start(spark: SparkSession, small: DataFrame, dims: list[int], n: int, k: int) -> DataFrame:
+    """The nearest within blocks: for every tree, rows in the order of their cell, cut by rank, however the rows lie in partitions."""
+    trees = []
+    for tree in range(TREES):
+        trees.append({})
         for dim in dims:
-            most = max(1, min(PIVOTS, n // BLOCK + 1, (32 << 20) // (8 * dim)))
-            pivots[dim] = b"".join(r["b"] for r in nodes.where(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(most).collect())
-        celled = nodes.mapInPandas(_Cells(pivots, seed), "node long, dim int, b binary, cell long, along double")
-        order = ["dim", "cell", "along", "node"]
-        made = celled.repartitionByRange(max(1, n // (16 * BLOCK)), *order).sortWithinPartitions(*order).mapInPandas(_blocks, "node long, nbr long, d double")
-        edges = made if edges is None else edges.unionByName(made)
-    edges = edges.groupBy("node", "nbr").agg(F.min("d").alias("d"))
-    return common.settle(spark, _top(edges).withColumn("new", F.lit(True)), "nn-start")
+            most = max(1, min(PIVOTS, n // 256 + 1, VECTOR_BYTES // (8 * dim * len(dims) * TREES)))
+            rows = small.where(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(tree), "node"), "node").select("x").limit(most).collect()
+            trees[-1][dim] = _mixed([bytes(r["x"]) for r in rows], dim)
+    longest = small.agg(F.max("dim")).first()[0] or 1
+    block = max(16, min(BLOCK, VECTOR_BYTES // (8 * longest)))
+    celled = small.mapInPandas(_Cells(trees), "tree int, node long, dim int, x binary, cell long, along double")
+    order = ["tree", "dim", "cell", "along", "node"]
+    placed = celled.repartitionByRange(max(1, n * TREES // (4 * BLOCK)), *order).sortWithinPartitions(*order).select("tree", "node", "dim", "x", F.monotonically_increasing_id().alias("at"))
+    placed = common.settle(spark, placed, "nn-placed")
+    part = F.shiftright("at", 33)
+    counts = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
+    before = F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    counts = counts.select("p", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = placed.join(F.broadcast(counts), part == F.col("p")).withColumn("block", F.floor((F.col("at") - F.col("first") + F.col("before")) / F.lit(block)))
+    edges = ranked.select("block", "tree", "node", "dim", "x").groupBy("block").applyInPandas(_near(k), "node long, nbr long, d float")
+    edges = edges.repartition("node").groupBy("node", "nbr").agg(F.min("d").alias("d"))
+    made = common.settle(spark, _top(edges, k).withColumn("new", F.lit(True)), "nn-start")
+    common.discard(spark, placed)
+    return made
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
-    """(mid, member, new): every node's list and up to ``REVERSE`` links to it, nearest first; a pair that links both ways comes twice."""
-    back = Window.partitionBy("nbr").orderBy("d", "node")
-    to = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE)
-    return graph.select(F.col("node").alias("mid"), F.col("nbr").alias("member"), "new").unionByName(to.select(F.col("nbr").alias("mid"), F.col("node").alias("member"), "new"))
+    """(mid, member, new): every node's list and its up to ``REVERSE`` nearest other links to it, in one shuffle by mid."""
+    own = graph.select(F.col("node").alias("mid"), F.col("nbr").alias("member"), "d", "new", F.lit(True).alias("own"))
+    back = graph.select(F.col("nbr").alias("mid"), F.col("node").alias("member"), "d", "new", F.lit(False).alias("own"))
+    rows = own.unionByName(back).repartition("mid").groupBy("mid", "member").agg(F.min("d").alias("d"), F.max("new").alias("new"), F.max("own").alias("own"))
+    turn = Window.partitionBy("mid", "own").orderBy("d", "member")
+    return rows.withColumn("r", F.row_number().over(turn)).where(F.col("own") | (F.col("r") <= REVERSE)).select("mid", "member", "new")
 
 
 def _pairs(parts):
@@ -150,7 +207,7 @@ def _pairs(parts):
             pdf = pd.concat([rest, pdf], ignore_index=True)
         mids = pdf["mid"].to_numpy()
         cuts = np.flatnonzero(np.diff(mids)) + 1
-        last = cuts[-1] if len(cuts) else 0
+        last = int(cuts[-1]) if len(cuts) else 0
         yield from _joined(pdf, [0, *cuts.tolist()])
         rest = pdf.iloc[last:]
     if rest is not None and len(rest):
@@ -158,63 +215,116 @@ def _pairs(parts):
 
 
 def _joined(pdf: pd.DataFrame, cuts: list[int]):
-    node, b = pdf["member"].to_numpy(), pdf["b"].to_numpy()
+    node, x, dim = pdf["member"].to_numpy(), pdf["x"].to_numpy(), pdf["dim"].to_numpy()
     worst, new = pdf["worst"].to_numpy(), pdf["new"].to_numpy(dtype=bool)
     out = []
     for lo, hi in zip(cuts, cuts[1:]):
-        if hi - lo < 2 or not new[lo:hi].any():
-            continue
-        x = _matrix(list(b[lo:hi]))
-        d = _squares(x, x)
         fresh = new[lo:hi]
+        if hi - lo < 2 or not fresh.any():
+            continue
+        v = _mixed(x[lo:hi], int(dim[lo]))
+        d = _squares(v, v)
         use = (fresh[:, None] | fresh[None, :]) & (d < worst[lo:hi, None])
-        use &= node[lo:hi, None] != node[None, lo:hi]
+        np.fill_diagonal(use, False)
         i, j = np.nonzero(use)
         if len(i):
-            out.append((node[lo + i], node[lo + j], d[i, j]))
+            out.append((node[lo + i], node[lo + j], d[i, j].astype(np.float32)))
     if out:
         yield pd.DataFrame({"node": np.concatenate([x[0] for x in out]), "nbr": np.concatenate([x[1] for x in out]), "d": np.concatenate([x[2] for x in out])})
 
 
-def build(spark: SparkSession, nodes: DataFrame, settled_share: float = 0.002) -> DataFrame:
-    """The neighbour graph (node, nbr, d squared) of ``nodes`` (node, dim, b)."""
+def _bytes_of(df: DataFrame, vector: str, each: int = 64) -> int:
+    return df.agg(F.sum(F.octet_length(vector) + F.lit(each))).first()[0] or 0
+
+
+class _Exact:
+    """Each query's ``top`` nearest other nodes among a task's rows."""
+
+    def __init__(self, queries: list[tuple[int, int, bytes]], top: int):
+        self.queries, self.top = queries, top
+
+    def __call__(self, parts):
+        near = {q: (np.empty(0), np.empty(0, dtype=np.int64)) for q, _, _ in self.queries}
+        for pdf in parts:
+            node = pdf["node"].to_numpy()
+            for dim, at in pdf.groupby("dim").indices.items():
+                x = _matrix(pdf["b"].iloc[at], dim)
+                for q, own, b in self.queries:
+                    if len(b) == 8 * dim:
+                        d = np.sqrt(((x - np.frombuffer(b, dtype="<f8")) ** 2).sum(1))
+                        other = node[at] != own
+                        d, n = np.concatenate([near[q][0], d[other]]), np.concatenate([near[q][1], node[at][other]])
+                        k = np.lexsort((n, d))[: self.top]
+                        near[q] = d[k], n[k]
+        rows = [(q, int(n), float(d)) for q, (ds, ns) in near.items() for d, n in zip(ds, ns)]
+        yield pd.DataFrame(rows, columns=["query_id", "node", "d"]).astype({"query_id": "int64", "node": "int64", "d": "float64"})
+
+
+def _compared(nodes: DataFrame, some: list, top: int) -> DataFrame:
+    d = nodes.select("node", "dim", "b").mapInPandas(_Exact([(r["query_id"], r["node"], bytes(r["b"])) for r in some], top), "query_id long, node long, d double")
+    w = Window.partitionBy("query_id").orderBy("d", "node")
+    return d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
+
+
+def _truth(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(node, nbr): the ``TOP`` nearest of up to ``CHECKED`` nodes, by comparing with all."""
+    some = nodes.orderBy(F.xxhash64("node"), "node").limit(CHECKED).select(F.col("node").alias("query_id"), "node", "b").collect()
+    return common.settle(spark, _compared(nodes, some, TOP).select(F.col("query_id").alias("node"), F.col("node").alias("nbr")), "nn-truth")
+
+
+def build(spark: SparkSession, nodes: DataFrame, k: int = K, settled_share: float = 0.002) -> DataFrame:
+    """The neighbour graph (node, nbr, d squared) of ``nodes`` (node, dim, b).
+
+    Rounds go on until the lists of ``CHECKED`` nodes, compared with all nodes,
+    hold ``LEAST_RECALL`` of their nearest, or until nothing much changes any more.
+    """
     n = nodes.count()
-    graph = _start(spark, nodes, n)
-    for k in range(ROUNDS):
-        worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("c")).select("node", F.when(F.col("c") >= K, F.col("worst")).otherwise(float("inf")).alias("worst"))
-        known = nodes.select("node", "b").join(worst, "node", "left").select(F.col("node").alias("member"), "b", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        local = _both_ways(graph).join(known, "member").select("mid", "member", "new", "worst", "b")
-        local = local.repartition("mid").sortWithinPartitions("mid")
-        found = local.mapInPandas(_pairs, "node long, nbr long, d double").withColumn("new", F.lit(True))
+    truth = _truth(spark, nodes)
+    total = truth.count()
+    small, dims = _narrowed(spark, nodes)
+    size = _bytes_of(small, "x")
+    graph = _start(spark, small, dims, n, k)
+    for turn in range(ROUNDS):
+        worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("c")).select("node", F.when(F.col("c") >= k, F.col("worst")).otherwise(F.lit(float("inf")).cast("float")).alias("worst"))
+        known = small.join(_sized(worst, 32 * n), "node", "left").select(F.col("node").alias("member"), "dim", "x", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+        mids = _both_ways(graph)
+        # nothing new can come of a node whose neighbours are all old
+        mids = mids.withColumn("any", F.max("new").over(Window.partitionBy("mid"))).where("any").drop("any")
+        local = mids.join(_sized(known, size), "member").select("mid", "member", "new", "worst", "dim", "x")
+        if size > VECTOR_BYTES:
+            local = local.repartition("mid")
+        found = local.sortWithinPartitions("mid").mapInPandas(_pairs, "node long, nbr long, d float").withColumn("new", F.lit(True))
         # by node, which does for the list as well; a pair of the old list is not new
         merged = graph.withColumn("new", F.lit(False)).unionByName(found).repartition("node").groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-        after = common.settle(spark, _top(merged), f"nn-{k}")
+        after = common.settle(spark, _top(merged, k), f"nn-{turn}")
         changed = after.where("new").count()
         common.discard(spark, graph)
         graph = after
-        if changed <= settled_share * K * n:
+        held = graph.join(F.broadcast(truth), ["node", "nbr"]).count()
+        if held >= LEAST_RECALL * total or changed <= settled_share * k * n:
+            common.discard(spark, small, truth)
             return graph.select("node", "nbr", "d")
     raise RuntimeError(f"the neighbour graph did not settle in {ROUNDS} rounds")
 
 
 def _distances(parts):
     for pdf in parts:
-        a, b = _matrix(list(pdf["qb"])) if len(pdf) and pdf["dim"].nunique() == 1 else None, None
-        if a is not None:
-            b = _matrix(list(pdf["b"]))
-            d = np.sqrt(((a - b) ** 2).sum(1))
-        else:
-            d = np.array([np.sqrt(((np.frombuffer(x, "<f8") - np.frombuffer(y, "<f8")) ** 2).sum()) for x, y in zip(pdf["qb"], pdf["b"])], dtype=float)
+        d = np.zeros(len(pdf))
+        for dim, at in pdf.groupby("dim").indices.items():
+            for lo in range(0, len(at), 2048):
+                k = at[lo : lo + 2048]
+                d[k] = np.sqrt(((_matrix(pdf["qb"].iloc[k], dim) - _matrix(pdf["b"].iloc[k], dim)) ** 2).sum(1))
         yield pd.DataFrame({"query_id": pdf["query_id"], "node": pdf["node"], "d": d})
 
 
-def search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
+def search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAMS[0]) -> DataFrame:
     """(query_id, node, d): the nearest nodes found for each query (query_id, node, b)."""
     links = common.settle(spark, _both_ways(graph.withColumn("new", F.lit(False))).select(F.col("mid").alias("node"), F.col("member").alias("nbr")), "nn-links")
-    q = queries.select("query_id", F.col("b").alias("qb"))
+    q = _sized(queries.select("query_id", F.col("b").alias("qb")), _bytes_of(queries, "b"))
+    held = _sized(nodes.select("node", "dim", "b"), _bytes_of(nodes, "b"))
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(nodes, "node").join(q, "query_id").select("query_id", "node", "dim", "qb", "b").mapInPandas(_distances, "query_id long, node long, d double")
+        return pairs.join(held, "node").join(q, "query_id").select("query_id", "node", "dim", "qb", "b").mapInPandas(_distances, "query_id long, node long, d double")
 
     def ranked(rows: DataFrame) -> DataFrame:
         """The beam, and which of it is expanded next."""
@@ -238,35 +348,25 @@ def search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: Dat
     raise RuntimeError(f"the search did not end in {MAX_HOPS} hops")
 
 
-class _Exact:
-    """The distances of each query's ``TOP`` nearest other nodes among a task's rows."""
-
-    def __init__(self, queries: list[tuple[int, int, bytes]]):
-        self.queries = queries
-
-    def __call__(self, parts):
-        near = {q: np.empty(0) for q, _, _ in self.queries}
-        for pdf in parts:
-            size, node = pdf["b"].map(len).to_numpy(), pdf["node"].to_numpy()
-            for length in np.unique(size):
-                at = np.flatnonzero(size == length)
-                x = _matrix([pdf["b"].iloc[k] for k in at])
-                for q, own, b in self.queries:
-                    if len(b) == length:
-                        d = np.sqrt(((x - np.frombuffer(b, dtype="<f8")) ** 2).sum(1))[node[at] != own]
-                        near[q] = np.sort(np.concatenate([near[q], d]))[:TOP]
-        yield pd.DataFrame([(q, d) for q, ds in near.items() for d in ds], columns=["query_id", "d"]).astype({"query_id": "int64", "d": "float64"})
-
-
 def exact(spark: SparkSession, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, node, far, c) of up to ``CHECKED`` queries: the distance of the last of the c <= ``TOP`` nearest nodes, by comparing with all."""
     some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CHECKED).select("query_id", "node", "b").collect()
-    d = nodes.select("node", "b").mapInPandas(_Exact([(r["query_id"], r["node"], bytes(r["b"])) for r in some]), "query_id long, d double")
-    w = Window.partitionBy("query_id").orderBy("d")
-    far = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOP).groupBy("query_id").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("c"))
+    far = _compared(nodes, some, TOP).groupBy("query_id").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("c"))
     return common.settle(spark, far.join(queries.select("query_id", "node"), "query_id"), "nn-exact")
 
 
+def exact_search(spark: SparkSession, nodes: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """(query_id, node, d): the ``top`` nearest other nodes of every query and its own, by comparing blocks of queries with all nodes."""
+    blocks = _bytes_of(queries, "b") // (VECTOR_BYTES // 4) + 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = queries.select("query_id", "node", F.lit(0.0).alias("d"))
+    for k in range(blocks):
+        some = queries.where(block == k).select("query_id", "node", "b").collect()
+        if some:
+            found = found.unionByName(common.settle(spark, _compared(nodes, some, top), f"nn-all-{k}"))
+    return found
+
+
 def recall(found: DataFrame, checked: DataFrame) -> float:
     """The share of the nearest nodes of the queries of :func:`exact` that ``found`` (query_id, node, d) holds; 1 without any."""
     own = checked.select("query_id", F.col("node").alias("own"), "far", "c")
@@ -277,18 +377,15 @@ def recall(found: DataFrame, checked: DataFrame) -> float:
 
 
 def found_by_search(spark: SparkSession, nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """:func:`search` with a beam wide enough for ``LEAST_RECALL`` on the checked queries."""
-    n = nodes.count()
-    checked, beam = exact(spark, nodes, queries), max(BEAM, 2 * math.isqrt(n))
-    while True:
+    """:func:`search` with the first beam that finds ``LEAST_RECALL`` of the checked queries' nearest; :func:`exact_search` where none does."""
+    checked = exact(spark, nodes, queries)
+    for beam in BEAMS:
         found = search(spark, nodes, graph, queries, beam)
-        share = recall(found, checked)
-        if share >= LEAST_RECALL:
+        if recall(found, checked) >= LEAST_RECALL:
             common.discard(spark, checked)
             return found
-        if beam >= n:
-            raise RuntimeError(f"recall {share:.3f} with a beam of all {n} nodes")
-        beam *= 2
+        common.discard(spark, found)
+    return exact_search(spark, nodes, queries)
 
 
 def nearest(spark: SparkSession, table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
@@ -298,7 +395,6 @@ def nearest(spark: SparkSession, table: DataFrame, every: int = 100, top: int =
     See :func:`vectors` for the rows that take part; vectors of different
     lengths are no candidates of each other. Ties go to the smaller vec_id.
     """
-    common.small_batches(spark)
     rows = common.settle(spark, vectors(table), "nn-vectors")
     nodes = common.settle(spark, rows.groupBy("b", "dim").agg(F.min("vec_id").alias("node")).select("node", "dim", "b"), "nn-nodes")
     first = Window.partitionBy("b").orderBy("vec_id")
