@@ -158,10 +158,10 @@ def _(b, period):
 @operator("RotationalInertiaTrend", "trend/rotational_inertia", "rot_inertia_{period}", norm="z:period", requires=("close", "volume"), period=20)
 def _(b, period):
     """Volume by squared log distance from the window's average."""
-    x, ma = b.log_floor(b.c), b.c.mean(period)
-    m = ma.ln()
-    total = (b.vol * x * x).sum(period) - 2 * m * (b.vol * x).sum(period) + m * m * b.vol.sum(period)
-    return total.when(ma > 1e-10)
+    ma = b.c.mean(period)
+    m = ma.ln().column()
+    x, v = b.log_floor(b.c).array(period), b.vol.array(period)  # expanded, the square would cancel where prices hardly move
+    return x._mix(f"aggregate(zip_with({x.sql}, {v.sql}, (s, t) -> t * (s - {m.sql}) * (s - {m.sql})), 0D, (s, t) -> s + t)", v, m).when(ma > 1e-10)
 
 
 @operator("MarketImpedanceTrend", "trend/market_impedance", "impedance_{period}", norm="z:period", requires=("high", "low", "volume"), period=20)

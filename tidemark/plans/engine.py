@@ -63,7 +63,8 @@ class Pipeline:
     """A list of features over bars of many series.
 
     Series are independent. A row is a bar; rows that tie on (``pair``, ``ts``)
-    have no defined order. Unknown results are null. With ``chunk`` each series
+    have no defined order. NaN in a column that a feature reads counts as null, in what
+    is kept as well, and unknown results are null. With ``chunk`` each series
     is cut into pieces of that many rows, each with the ``warmup`` rows before
     it, so one long series runs as many tasks: windowed operators stay exact,
     recursions agree as far as their warm-up says.
@@ -88,6 +89,8 @@ class Pipeline:
         own = [f for f in self.features if not isinstance(f, CrossSectionalStat)]
         if missing := sorted({r for f in own for r in f.requires} - set(bars.columns)):
             raise ValueError(f"the bars have no columns {missing}")
+        read = {r for f in own for r in f.requires} | {f.params["col"] for f in across}
+        bars = bars.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c, t in bars.dtypes if c in read and t in ("double", "float")})
         b, results = Builder(), {}
         for f in own:
             results |= dict(zip(f.outputs, f.columns(b)))
@@ -104,6 +107,8 @@ class Pipeline:
         return out.select(*(f"`{c}`" for c in [*keep, *dict.fromkeys(self.outputs)]))
 
     def _chunked(self, bars: DataFrame, b: Builder, results: dict[str, X], keep: list[str]) -> DataFrame:
+        if any("UNBOUNDED PRECEDING" in sql for stage in b.stages.values() for sql in stage.values()):
+            raise ValueError("some of these features sum over a whole series, so it can't be cut into pieces")
         day = F.date_trunc("day", F.col(self.ts).cast("timestamp_ntz"))
         counts = bars.groupBy(self.pair, day.alias("_day")).count()
         before = F.sum("count").over(Window.partitionBy(self.pair).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
