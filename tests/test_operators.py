@@ -59,6 +59,71 @@ def test_sql_agrees(spark):
         assert rows == sorted(map(str, sql)), name
 
 
+WINDOWED = "divergence/macd divergence/rsi smooth/jma smooth/fft trend/psar stat/mode_distance stat/damping_ratio stat/correlation_length stat/sample_entropy stat/lempel_ziv stat/fisher_information stat/dfa stat/kalman_innovation stat/lyapunov_exponent stat/pid_error stat/prediction_error_decomp stat/renyi_entropy stat/auto_mutual_info stat/info_gain stat/kl_divergence stat/js_divergence stat/spectral_centroid stat/spectral_entropy stat/spectral_rolloff stat/spectral_flatness stat/power_cepstrum stat/spectral_bandwidth stat/spectral_slope stat/spectral_kurtosis stat/spectral_contrast stat/mfcc_band_energy stat/spectral_flux".split()
+
+
+def test_sql_agrees_on_kernels(spark):
+    """Every kernel of windows and recursions, and the divergences, against SQL from their definitions."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    got = queries.over(*(ops.indicator(n) for n in WINDOWED))(spark, sf).toPandas().sort_values(["pair", "ts"]).reset_index(drop=True)
+    want = oracle.build()
+    for name in WINDOWED:
+        sql = con.execute(want[name.replace("/", "_")]).df().sort_values(["pair", "ts"]).reset_index(drop=True)
+        for c in ops.indicator(name).outputs:
+            np.testing.assert_allclose(got[c].to_numpy(dtype=float), sql[c].to_numpy(dtype=float), rtol=1e-9, atol=2e-6, err_msg=c)
+            assert sql[c].notna().any(), c
+
+
+def test_sql_agrees_on_divergences(spark):
+    """On walks, where closes and indicators do move apart."""
+    walks = [walk(900, seed=k, pair=f"p{k}")[["pair", "ts", "close"]] for k in range(6)]
+    events = pd.concat(walks).rename(columns={"pair": "event_type", "close": "value"})
+    events["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(events.groupby("event_type").cumcount(), unit="h")
+    events["event_id"] = range(len(events))
+    con = duckdb.connect()
+    con.register("events", events)
+    table = events.rename(columns={"event_type": "pair", "value": "close"}).drop(columns="event_id")
+    table = table.assign(open=table["close"], high=table["close"], low=table["close"], volume=1.0)
+    got = queries.rounded(Pipeline([ops.indicator("divergence/rsi"), ops.indicator("divergence/macd")]).transform(frame(spark, table), only=True)).toPandas().sort_values(["pair", "ts"]).reset_index(drop=True)
+    want, fired = oracle.build(), 0
+    for name in ("divergence_rsi", "divergence_macd"):
+        sql = con.execute(want[name]).df().sort_values(["pair", "ts"]).reset_index(drop=True)
+        for c in sql.columns[2:]:
+            np.testing.assert_allclose(got[c].to_numpy(dtype=float), sql[c].to_numpy(dtype=float), rtol=1e-9, atol=2e-6, err_msg=c)
+            fired += sql[c].sum() if "_div_" in c and "strength" not in c else 0
+    assert fired > 20
+
+
+def test_nan_counts_as_null(spark):
+    """NaN in any bar column gives what null gives, and no NaN comes out."""
+    bad, gap = walk(400), walk(400)
+    for k, c in enumerate(("open", "high", "low", "close", "volume", "benchmark")):
+        bad.loc[(bad.index + k) % 47 == 46, c] = np.nan
+        gap[c] = gap[c].astype(object)
+        gap.loc[(gap.index + k) % 47 == 46, c] = None
+    schema = "pair string, ts timestamp_ntz, open double, high double, low double, close double, volume double, benchmark double"
+    rows = lambda df: [tuple(None if v is None else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in df.itertuples(index=False)]
+    made = [Pipeline(everything()).transform(spark.createDataFrame(rows(df), schema)) for df in (bad, gap)]
+    outputs = [c for c, t in made[0].dtypes if t == "double"]
+    nans = made[0].agg(*(bars.F.count_if(bars.F.isnan(f"`{c}`")).alias(c) for c in outputs)).first().asDict()
+    assert not {c for c, n in nans.items() if n}
+    a, b = (m.toPandas().sort_values("ts") for m in made)
+    for c in outputs:
+        np.testing.assert_allclose(a[c].to_numpy(dtype=float), b[c].to_numpy(dtype=float), err_msg=c)
+
+
+def test_small_moves_of_a_large_price(spark):
+    """The sum of squared distances doesn't cancel."""
+    df = walk(200)
+    df["close"] = 60_000 * np.exp(1e-5 * np.sin(np.arange(200)))
+    out = Pipeline([ops.indicator("trend/rotational_inertia")]).transform(frame(spark, df)).toPandas().sort_values("ts")
+    x, v = df["close"].to_numpy(), df["volume"].to_numpy()
+    want = [sum(v[j] * math.log1p((x[j] - x[k - 19 : k + 1].mean()) / x[k - 19 : k + 1].mean()) ** 2 for j in range(k - 19, k + 1)) for k in range(19, 200)]
+    np.testing.assert_allclose(out["rot_inertia_20"].to_numpy(dtype=float)[19:], want, rtol=1e-6)
+
+
 def test_no_look_ahead(spark, one):
     short = Pipeline(everything()).transform(frame(spark, walk(700).head(640))).toPandas().sort_values("ts").reset_index(drop=True)
     for c in one.columns[8:]:

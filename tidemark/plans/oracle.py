@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from tidemark.plans import oracle_windows, pipes
+
 BARS = """SELECT event_type AS pair, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS o, max(value) AS h, min(value) AS l,
   arg_max(value, (ts, event_id)) AS c, CAST(count(*) AS DOUBLE) AS v FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL"""
 LAGS = "SELECT *, row_number() @ - 1 AS i, lag(c) @ AS pc, lag(h) @ AS ph, lag(l) @ AS pl, lag(v) @ AS pv FROM bars"
@@ -109,6 +111,16 @@ def z(x: str, w: int) -> str:
     return f"CASE WHEN i >= {w - 1} AND count({x}) @{w} > 1 AND stddev_samp({x}) @{w} > 1e-10 THEN ({x} - avg({x}) @{w}) / stddev_samp({x}) @{w} END"
 
 
+def preset(q: dict[str, str], features: list) -> str:
+    """The results of several operators side by side."""
+    parts, held = [], {}
+    for k, f in enumerate(features):
+        changed = [str(v) for p, v in f.params.items() if v != f.spec.defaults[p]]
+        parts.append(f"JOIN ({q['/'.join([f.spec.name, *changed])]}) AS q{k} USING (pair, ts)")
+        held |= {o: f"q{k}.{o}" for o in f.outputs}
+    return f"WITH b AS ({BARS})\nSELECT pair, ts, {', '.join(held.values())} FROM b " + "\n".join(parts)
+
+
 def build() -> dict[str, str]:
     q = {}
     # momentum
@@ -142,16 +154,18 @@ def build() -> dict[str, str]:
     up, dn = "greatest(c - pc, 0)", "greatest(pc - c, 0)"
     vid = {"us": f"sum({up}) @14", "ds": f"sum({dn}) @14"}
     q["smooth/vidya"] = query(vid, {"close_vidya_14": "y"}, extra=varying("(2.0 / 15) * coalesce(abs((us - ds) / nullif(us + ds, 0)), 0)", "avg(c) @15", 14))
-    fr = {"h8": "max(c) @8", "l8": "min(c) @8", "r16": "(max(c) @16 - min(c) @16) / 16"}, {"n12": "(h8 - l8) / 8 + (lag(h8, 8) @ - lag(l8, 8) @) / 8"}
+    fr = lambda p: ({"h8": f"max(c) @{p // 2}", "l8": f"min(c) @{p // 2}", "r16": f"(max(c) @{p} - min(c) @{p}) / {p}"}, {"n12": f"(h8 - l8) / {p // 2} + (lag(h8, {p // 2}) @ - lag(l8, {p // 2}) @) / {p // 2}"})
     dim = "CASE WHEN n12 > 0 AND r16 > 0 THEN (ln(n12) - ln(r16)) / ln(2) ELSE 1 END"
-    q["smooth/frama"] = query(*fr, {"close_frama_16": "y"}, extra=varying(f"least(greatest(exp(-4.6 * (({dim}) - 1)), 0.01), 1)", "c", 15))
-    q["smooth/mcginley"] = query({"close_mcg_10": "y"}, extra="r AS (SELECT pair, i, c AS y FROM $at WHERE i = 0 UNION ALL SELECT s.pair, s.i, CASE WHEN r.y = 0 THEN s.c ELSE r.y + (s.c - r.y) / (6.0 * pow(s.c / r.y, 4)) END FROM r JOIN $at s ON s.pair = r.pair AND s.i = r.i + 1), last AS (SELECT s.*, r.y FROM $at s LEFT JOIN r ON r.pair = s.pair AND r.i = s.i)")
+    frama = lambda p: query(*fr(p), {f"close_frama_{p}": "y"}, extra=varying(f"least(greatest(exp(-4.6 * (({dim}) - 1)), 0.01), 1)", "c", p - 1))
+    mcginley = lambda p: query({f"close_mcg_{p}": "y"}, extra=f"r AS (SELECT pair, i, c AS y FROM $at WHERE i = 0 UNION ALL SELECT s.pair, s.i, CASE WHEN r.y = 0 THEN s.c ELSE r.y + (s.c - r.y) / ({0.6 * p!r} * pow(s.c / r.y, 4)) END FROM r JOIN $at s ON s.pair = r.pair AND s.i = r.i + 1), last AS (SELECT s.*, r.y FROM $at s LEFT JOIN r ON r.pair = s.pair AND r.i = s.i)")
     import math
 
-    gauss = [math.exp(-((k - 0.85 * 9) ** 2) / (2 * (10 / 6) ** 2)) for k in range(10)]
-    q["smooth/alma"] = query({"a": LIST(10)}, {"close_alma_10": dot("a", [g / sum(gauss) for g in gauss])})
-    t3 = [s for k in range(6) for s in emas(f"e{k + 1}", f"e{k}" if k else "c", 10, 9 * k)]
-    q["smooth/t3"] = query(*t3, {"close_t3_10": "-0.343 * e6 + 2.499 * e5 - 6.069 * e4 + 4.913 * e3"})
+    gauss = lambda p: [math.exp(-((k - 0.85 * (p - 1)) ** 2) / (2 * (p / 6) ** 2)) for k in range(p)]
+    alma = lambda p: query({"a": LIST(p)}, {f"close_alma_{p}": dot("a", [g / sum(gauss(p)) for g in gauss(p)])})
+    t3s = lambda p: [s for k in range(6) for s in emas(f"e{k + 1}", f"e{k}" if k else "c", p, (p - 1) * k)]
+    t3 = lambda p: query(*t3s(p), {f"close_t3_{p}": "-0.343 * e6 + 2.499 * e5 - 6.069 * e4 + 4.913 * e3"})
+    for name, made, own, tuned in (("frama", frama, 16, 20), ("mcginley", mcginley, 10, 20), ("alma", alma, 10, 9), ("t3", t3, 10, 5)):
+        q[f"smooth/{name}"], q[f"smooth/{name}/{tuned}"] = made(own), made(tuned)
     q["smooth/zlma"] = query({"x": "2 * c - lag(c, 9) @"}, {"close_zlma_20": first("x", 20, 9)})
     q["smooth/sma"] = query({"close_sma_20": avg("c", 20)})
     q["smooth/ema"] = query({"close_ema_20": first("c", 20)})
@@ -339,6 +353,19 @@ def build() -> dict[str, str]:
     q["stat/permutation_entropy"] = query(*pat, {S("perm_entropy", 100): f"CASE WHEN i >= 100 THEN {pent} END"})
     q["stat/zero_crossing_rate"] = query({"a": LIST(64)}, {"mn": "list_avg(a)", "sl": dot("a", [(k - 31.5) / sum((j - 31.5) ** 2 for j in range(64)) for k in range(64)])}, {"d": "list_transform(range(1, 65), lambda k: a[k] - mn - sl * (k - 32.5) >= 0)"}, {S("zcr", 64): "CASE WHEN i >= 63 THEN len(list_filter(range(2, 65), lambda k: d[k] <> d[k - 1])) / 63 END"})
     q["stat/cross_sectional"] = query({"n": "count(c) OVER (PARTITION BY ts)"}, {"close_cs_rank": "(rank() OVER (PARTITION BY ts ORDER BY c) + (count(*) OVER (PARTITION BY ts, c) - 1) / 2) / n", "close_cs_zscore": "(c - avg(c) OVER (PARTITION BY ts)) / nullif(stddev_samp(c) OVER (PARTITION BY ts), 0)", "close_cs_mean": "avg(c) OVER (PARTITION BY ts)"})
+    oracle_windows.add(q, query, DISP)
+    own = oracle_windows.strength("0", "100")
+    extreme = "15 * CASE WHEN f0 > 0 AND ind < 30 THEN (30 - ind) / 30 ELSE 0 END + 15 * CASE WHEN f1 > 0 AND ind > 70 THEN (ind - 70) / 30 ELSE 0 END"
+    div = lambda tag: {f"{tag}_div_{kind}": f"f{k}" for k, kind in enumerate(("bullish", "bearish", "hidden_bullish", "hidden_bearish"))}
+    q["divergence/rsi"] = query(*rsi, {"ind": RSI}, {"rsi_14": "ind"} | div("rsi") | {"rsi_div_strength": f"least({own} + {extreme}, 100)"}, extra=oracle_windows.divergence())
+    lines = (*two, {"m": "f - s"}, *emas("sig", "m", 9, 25), {"ind": "m - sig", "om": "lag(m) @", "os": "lag(sig) @"}, {"up": "CAST(coalesce(m > sig AND om <= os, false) AS INT)", "dn": "CAST(coalesce(m < sig AND om >= os, false) AS INT)"})
+    own = oracle_windows.strength("min(ind) @100", "max(ind) @100")
+    crossed = "10 * CASE WHEN f0 > 0 AND max(up) @6 > 0 THEN 1 ELSE 0 END + 10 * CASE WHEN f1 > 0 AND max(dn) @6 > 0 THEN 1 ELSE 0 END"
+    q["divergence/macd"] = query(*lines, {"macd_12_26": "m", "macd_signal_9": "sig", "macd_hist_12_26": "ind"} | div("macd") | {"macd_div_strength": f"least({own} + {crossed}, 100)"}, extra=oracle_windows.divergence())
+    for name, make in pipes.MODULES.items():
+        q[f"pipe/{name}"] = preset(q, make())
+    for k in [k for k in q if k.count("/") > 1]:  # periods that only presets have
+        del q[k]
     out = {k.replace("/", "_"): v for k, v in q.items()}
     out["flagship"] = query({"tr": TR}, *both(rmas("up", f"greatest({D}, 0)", 14), rmas("dn", f"greatest(-({D}), 0)", 14)), {"m": avg("c", 20), "s": full(20, "stddev_pop(c) @20")}, {"close_sma_20": "m", "true_range": "tr", "rsi_14": RSI, "bb_upper_20": "m + 2 * s", "bb_middle_20": "m", "bb_lower_20": "m - 2 * s", "bb_width_20": "100 * 4 * s / m", "bb_pct_20": "(c - m + 2 * s) / (4 * s + 1e-10)"})
     out["normalized_roc"] = query({"x": "100 * (c - lag(c, 10) @) / nullif(lag(c, 10) @, 0)"}, {"roc_10_norm": z("x", 60)})
