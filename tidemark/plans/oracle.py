@@ -111,14 +111,20 @@ def z(x: str, w: int) -> str:
     return f"CASE WHEN i >= {w - 1} AND count({x}) @{w} > 1 AND stddev_samp({x}) @{w} > 1e-10 THEN ({x} - avg({x}) @{w}) / stddev_samp({x}) @{w} END"
 
 
-def preset(q: dict[str, str], features: list) -> str:
-    """The results of several operators side by side."""
-    parts, held = [], {}
+def preset(q: dict[str, str], features: list, size: int = 24) -> str:
+    """The results of several operators side by side, each worked out by itself; joined ``size`` at a time, as planning many joins takes long."""
+    parts, held, names = [], {}, []
     for k, f in enumerate(features):
         changed = [str(v) for p, v in f.params.items() if v != f.spec.defaults[p]]
-        parts.append(f"JOIN ({q['/'.join([f.spec.name, *changed])]}) AS q{k} USING (pair, ts)")
-        held |= {o: f"q{k}.{o}" for o in f.outputs}
-    return f"WITH b AS ({BARS})\nSELECT pair, ts, {', '.join(held.values())} FROM b " + "\n".join(parts)
+        parts.append(f"q{k} AS MATERIALIZED ({q['/'.join([f.spec.name, *changed])]})")
+        held |= {o: k for o in f.outputs}  # an output named twice is the later operator's
+    for at in range(0, len(features), size):
+        names.append(f"g{at // size}")
+        own = range(at, min(at + size, len(features)))
+        cols = ", ".join(f"q{k}.{o}" for o, k in held.items() if k in own)
+        parts.append(f"{names[-1]} AS MATERIALIZED (SELECT pair, ts, {cols} FROM q{at} {' '.join(f'JOIN q{k} USING (pair, ts)' for k in own[1:])})")
+    joins = " ".join(f"JOIN {g} USING (pair, ts)" for g in names[1:])
+    return "WITH " + ",\n".join(parts) + f"\nSELECT pair, ts, {', '.join(held)} FROM {names[0]} {joins}"
 
 
 def build() -> dict[str, str]:
