@@ -59,6 +59,11 @@ def run(df: DataFrame, b: Builder, results: dict[str, X], keys: Sequence[str], o
     return df.selectExpr(*(f"`{c}`" for c in keep), *(f"{x.sql} AS `{name}`" for name, x in results.items()))
 
 
+def _refuse_whole_series(b: Builder) -> None:
+    if any("UNBOUNDED PRECEDING" in sql and "row_number()" not in sql for stage in b.stages.values() for sql in stage.values()):
+        raise ValueError("some of these features look back over a whole series, so it can't be cut into pieces")
+
+
 class Pipeline:
     """A list of features over bars of many series.
 
@@ -81,6 +86,14 @@ class Pipeline:
     def outputs(self) -> list[str]:
         return [o for f in self.features for o in f.outputs]
 
+    def refuse_whole_series(self) -> None:
+        """Raise where a feature needs all of a series' past, not just a warm-up."""
+        b = Builder()
+        for f in self.features:
+            if hasattr(f.spec, "build"):
+                f.columns(b)
+        _refuse_whole_series(b)
+
     def transform(self, bars: DataFrame, only: bool = False) -> DataFrame:
         """``bars`` (or just pair and ts, with ``only``) and all outputs; an output named twice is the later feature's."""
         from tidemark.operators.cross_section import CrossSectionalStat
@@ -107,8 +120,7 @@ class Pipeline:
         return out.select(*(f"`{c}`" for c in [*keep, *dict.fromkeys(self.outputs)]))
 
     def _chunked(self, bars: DataFrame, b: Builder, results: dict[str, X], keep: list[str]) -> DataFrame:
-        if any("UNBOUNDED PRECEDING" in sql for stage in b.stages.values() for sql in stage.values()):
-            raise ValueError("some of these features sum over a whole series, so it can't be cut into pieces")
+        _refuse_whole_series(b)
         day = F.date_trunc("day", F.col(self.ts).cast("timestamp_ntz"))
         counts = bars.groupBy(self.pair, day.alias("_day")).count()
         before = F.sum("count").over(Window.partitionBy(self.pair).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))

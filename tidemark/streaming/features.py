@@ -1,44 +1,55 @@
 """Features of a bar stream: each series keeps the bars that its warm-up needs.
 
-Windowed operators come out exactly as in batch; recursive ones agree as far as
-their declared warm-up says, for it is all of the past that is kept.
+Every batch runs the features' own plan over the kept bars and the new ones, so
+windowed operators come out exactly as over a table; recursive ones agree as
+far as their declared warm-up says, for it is all of the past that is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.registry import Feature
+from tidemark.plans.engine import Pipeline
 
-BARS = ("open", "high", "low", "close", "volume")
 
+def _folder(df: DataFrame, path: str):
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), p
 
-def streaming_features(bars: DataFrame, features: Sequence[Feature], kernels: dict[str, tuple], keep: int | None = None) -> DataFrame:
-    """pair, ts and one column per kernel, for bars that come in order.
 
-    ``kernels`` maps an output to (function of float arrays, input columns,
-    parameters), such as ``{"ema": (kernels.first_ema, ["close"], {"span": 20})}``;
-    ``keep`` bars (the features' longest warm-up by default) stay in a series'
-    state.
+def streaming_features(bars: DataFrame, features: Sequence[Feature], folder: str, sink: Callable[[DataFrame, int], None], pair: str = "pair", ts: str = "ts", late: str = "refuse") -> DataStreamWriter:
+    """A writer that hands every batch's bars with their features to ``sink(rows, batch id)``; start it with a checkpoint location.
+
+    ``folder``, which all executors share, holds the kept bars of the last two
+    batches under their ids, so a batch that is run again finds what it found
+    before. Bars may come in any order within a batch; one that is not after
+    its series' last bar of an earlier batch is refused, or left out with
+    ``late="drop"``. Features that sum over a whole series are refused.
     """
-    held = keep or max([1, *(f.warmup for f in features)])
-    schema = T.StructType([T.StructField("pair", T.StringType()), T.StructField("ts", T.TimestampType()), *(T.StructField(k, T.DoubleType()) for k in kernels)])
-    state = T.StructType([T.StructField("rows", T.ArrayType(T.ArrayType(T.DoubleType())))])
-
-    def step(key, parts, memory):
-        past = np.array(memory.get[0], dtype=float).reshape(-1, len(BARS)) if memory.exists else np.zeros((0, len(BARS)))
-        pdf = pd.concat(list(parts)).sort_values("ts")
-        rows = np.concatenate([past, pdf[list(BARS)].to_numpy(dtype=float)])
-        out = {"pair": key[0], "ts": pdf["ts"].to_numpy()}
-        with np.errstate(all="ignore"):
-            for name, (fn, inputs, params) in kernels.items():
-                out[name] = np.asarray(fn(*(rows[:, BARS.index(c)] for c in inputs), **params), dtype=float)[len(past) :]
-        memory.update((rows[-held:].tolist(),))
-        yield pd.DataFrame(out)
-
-    return bars.groupBy("pair").applyInPandasWithState(step, schema, state, "append", "NoTimeout")
+    if late not in ("refuse", "drop"):
+        raise ValueError("late must be refuse or drop")
+    plan = Pipeline(features, pair=pair, ts=ts)
+    plan.refuse_whole_series()
+    warm = max(plan.warmup, 1)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        new = next(f"_new{'_' * k}" for k in range(len(df.columns) + 1) if f"_new{'_' * k}" not in df.columns)
+        fs, before = _folder(df, f"{folder}/{batch_id - 1}")
+        past = df.sparkSession.read.schema(df.schema).parquet(before.toString()) if fs.exists(before) else df.limit(0)
+        last = past.groupBy(F.col(pair).alias("_p")).agg(F.max(ts).alias("_t"))
+        tardy = F.col(pair).eqNullSafe(F.col("_p")) & (F.col(ts) <= F.col("_t"))
+        if late == "refuse" and (rows := df.join(last, tardy, "left_semi").limit(3).collect()):
+            raise ValueError(f"bars came after later ones of their series: {rows}")
+        fresh = df.join(last, tardy, "left_anti")
+        every = past.withColumn(new, F.lit(False)).unionByName(fresh.withColumn(new, F.lit(True)))
+        sink(plan.transform(every).where(new).drop(new), batch_id)
+        turn = F.row_number().over(Window.partitionBy(pair).orderBy(F.desc(ts)))
+        every.withColumn("_r", turn).where(F.col("_r") <= warm).select(df.columns).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+        fs.delete(_folder(df, f"{folder}/{batch_id - 2}")[1], True)
+
+    return bars.writeStream.foreachBatch(batch)
