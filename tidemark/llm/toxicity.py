@@ -2,9 +2,15 @@
 
 Tokens get log-odds of toxic against clean under a Dirichlet prior, shrunk to a
 lower confidence bound; words not seen in training fall back to their prefixes.
-A linear-time scan (Ruzzo and Tompa) finds every maximal passage of a text; the
-best one is judged against the Gumbel law of chance maxima (Karlin and
-Altschul), and a logistic curve fitted on rows apart turns that into a score.
+A linear-time scan (Ruzzo and Tompa) finds every maximal passage of a text.
+
+Extreme-value calibration aggregates them: in clean text, passages of score s
+or more come as rare events at a rate that falls exponentially with s (Karlin
+and Altschul's law, its rate and slope measured on clean rows set apart), so
+the chance that n tokens hold r passages as good as the r-th best is a Poisson
+tail. The least chance over all r is a text's evidence, so one strong passage
+counts whatever the length, and so do many weak ones. A logistic curve fitted on
+the rows set apart turns evidence into a score.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +39,11 @@ class Model:
 
     odds: dict[str, float] = field(default_factory=dict)
     neutral: float = -0.5
+    #: Passages of clean text: those of ``level`` and more a token, how fast they thin out above it, and all a token.
+    level: float = 0.0
     lam: float = 1.0
-    ln_k: float = 0.0
+    rate: float = 1e-3
+    rate_all: float = 1e-3
     slope: float = 1.0
     bias: float = -2.0
 
@@ -42,11 +52,30 @@ class Model:
         best = max((odds.get(f, 0.0) for f in features(word)), default=0.0)
         return best if best > 0 else self.neutral
 
-    def rarity(self, n: int, best: float) -> float:
-        if best <= 0:
-            return 0.0
-        x = self.lam * best - self.ln_k - math.log(max(n, 1))
-        return x if x > 30 else -math.log(-math.expm1(-math.exp(-max(x, -6.0))))
+    def evidence(self, n: int, scores: list[float]) -> tuple[float, int]:
+        """Minus the log of the chance of passages like these in ``n`` clean tokens, and how many of the best make it out."""
+        best, most = 0.0, 0
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            rate = self.rate * math.exp(-min(self.lam * (s - self.level), 600.0)) if s >= self.level else self.rate_all
+            x = rare(max(n, 1) * rate, r) - math.log(r)  # every r is a look of its own
+            if x > best:
+                best, most = x, r
+        return best, most
+
+
+def rare(mean: float, r: int) -> float:
+    """Minus the log of the chance of ``r`` or more Poisson events."""
+    if mean <= 0:
+        return math.inf
+    if mean >= r + 8 * math.sqrt(mean) + 8:
+        return 0.0
+    term = total = 1.0
+    k = r
+    while term > 1e-12 * total:
+        k += 1
+        term *= mean / k
+        total += term
+    return max(0.0, mean - r * math.log(mean) + math.lgamma(r + 1) - math.log(total))
 
 
 def features(word: str) -> Iterator[str]:
@@ -106,10 +135,11 @@ class Scanner:
         hits = [(i, s) for i, s in enumerate(scores) if s > 0]
         return len(chunks), segments(hits, self.model.neutral) if hits else [], chunks
 
-    def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
-        """Minus the log of the chance that clean text of ``n`` tokens has so good a passage; 0 if none is found."""
-        best = max((s for *_, s in found), default=0.0)
-        return self.model.rarity(n, best)
+    def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], list[str]]:
+        """A text's evidence, the passages that make it out (best first), and its tokens."""
+        n, found, chunks = self.scan(text)
+        e, r = self.model.evidence(n, [s for *_, s in found])
+        return e, sorted(found, key=lambda x: (-x[2], x[0]))[:r], chunks
 
     def score(self, evidence: float) -> float:
         x = self.model.slope * evidence + self.model.bias
@@ -145,8 +175,9 @@ def _contexts(parts):
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             words = LETTERS.findall((text or "").lower())
             seen.update(dict.fromkeys(zip(words, ["", *words], [int(toxic)] * len(words))))
-        words, before, toxic = zip(*seen) if seen else ((), (), ())
-        yield pd.DataFrame({"word": words, "before": before, "toxic": np.array(toxic, dtype=np.int32)})
+        if seen:
+            words, before, toxic = zip(*seen)
+            yield pd.DataFrame({"word": words, "before": before, "toxic": np.array(toxic, dtype=np.int32)})
 
 
 def _spread(parts):
@@ -158,15 +189,18 @@ def _spread(parts):
                 x = by.setdefault(f, [0, 0])
                 x[0] += clean
                 x[1] += toxic
+        if not by:
+            continue
         yield pd.DataFrame({"feature": list(by), "clean": [x[0] for x in by.values()], "toxic": [x[1] for x in by.values()]})
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 50_000, z: float = 3.3, prior: float = 0.1, least: float = 0.3) -> Model:
     """Fit on at most about ``max_rows`` labelled rows, chosen by the hash of their id.
 
-    Rows whose label or id is null take no part; a label counts once per document row. Log-odds come from
-    three quarters of the rows, the extreme-value law and the logistic curve
-    from the rest. With one class only, every text gets that class's share.
+    Rows whose label or id is null take no part; of an id's rows the least text
+    counts, of its labels the greatest. Log-odds come from three quarters of the
+    rows, the extreme-value law and the logistic curve from the rest. With one
+    class only, every text gets that class's share.
     """
     spark = documents.sparkSession
     common.small_batches(spark)
@@ -174,7 +208,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_fea
     n = max(known.count(), 1)
     share = min(1.0, max_rows / n)
     known = known.where((F.abs(F.xxhash64(F.lit("toxicity"), "doc_id")) % 1_000_000) < int(share * 1_000_000))
-    rows = documents.select("doc_id", "text").join(known, "doc_id").withColumn("part", F.abs(F.xxhash64(F.lit("fold"), "doc_id")) % 4)
+    rows = documents.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = rows.withColumn("part", F.abs(F.xxhash64(F.lit("fold"), "doc_id")) % 4)
     rows = common.settle(spark, rows, "toxic-fit")
     pairs = rows.where("part > 0").select("text", "toxic").mapInPandas(_contexts, "word string, before string, toxic int").distinct()
     words = pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
@@ -190,13 +225,13 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_fea
         bound = delta - F.lit(z) * F.sqrt(1 / y1 + 1 / y0)
         top = counted.where("toxic >= 2").withColumn("s", bound).where(F.col("s") >= least).orderBy(F.desc("s"), "feature").limit(max_features).collect()
         model.odds = {r["feature"]: float(r["s"]) for r in top}
-    part = rows.where("part = 0").select("text", "toxic").mapInPandas(_Calibrate(model), "n long, best double, positive long, sum_exp double, toxic int").toPandas()
+    part = rows.where("part = 0").select("text", "toxic").mapInPandas(_Calibrate(model), "n long, scores array<double>, toxic int").toPandas()
     common.discard(spark, rows, words)
-    return calibrate(model, part)
+    return calibrate(model, [int(x) for x in part["n"]], [list(x) for x in part["scores"]], part["toxic"].to_numpy(dtype=float))
 
 
 class _Calibrate:
-    """Per document of the calibration rows: its length, its best passage, its class."""
+    """Per document of the calibration rows: its length, its passages' scores, its class."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -207,29 +242,25 @@ class _Calibrate:
             out = []
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 n, found, _ = scanner.scan(text)
-                hits = [s for c in (text or "").split() if (s := scanner.known.get(c, 0.0)) > 0]
-                out.append((n, max((s for *_, s in found), default=0.0), len(hits), float(sum(hits)), int(toxic)))
-            yield pd.DataFrame(out, columns=["n", "best", "positive", "sum_exp", "toxic"])
-
-
-def calibrate(model: Model, rows: pd.DataFrame) -> Model:
-    clean = rows[rows["toxic"] == 0]
-    tokens, positive = max(float(clean["n"].sum()), 1.0), float(clean["positive"].sum())
-    mean = (float(clean["sum_exp"].sum()) + 1.0) / (positive + 1.0)
-    p = (positive + 1.0) / (tokens + 2.0)
-    lo, hi = 1e-4, 30.0  # lambda solves p e^(lambda mean) + (1 - p) e^(lambda neutral) = 1
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        if p * math.exp(min(mid * mean, 500)) + (1 - p) * math.exp(mid * model.neutral) > 1:
-            hi = mid
-        else:
-            lo = mid
-    model.lam = max(lo, 0.05)
-    n = np.maximum(clean["n"].to_numpy(dtype=float), 1)
-    if len(n):
-        model.ln_k = float(np.clip(np.median(model.lam * clean["best"].to_numpy() - np.log(n)) - 0.3665, -20, 5))
-    x = np.array([model.rarity(m, b) for m, b in zip(rows["n"], rows["best"])])
-    model.slope, model.bias = logistic(x, rows["toxic"].to_numpy(dtype=float)) if model.odds else (0.0, logistic(x[:0] * 0, x[:0])[1])
+                out.append((n, [s for *_, s in found], int(toxic)))
+            yield pd.DataFrame(out, columns=["n", "scores", "toxic"])
+
+
+def calibrate(model: Model, sizes: list[int], scores: list[list[float]], toxic: np.ndarray) -> Model:
+    """The law of clean passages, by their excess over the median one, and the curve.
+
+    One observation of the excess is given beforehand: what the law expects
+    where words of the usual score turn up at the rate of clean passages.
+    """
+    clean = np.array(sorted(s for row, y in zip(scores, toxic) if not y for s in row))
+    tokens = max(sum(n for n, y in zip(sizes, toxic) if not y), 1)
+    model.level = float(np.median(clean)) if len(clean) else 0.0
+    above = clean[clean >= model.level]
+    model.rate, model.rate_all = (len(above) + 0.5) / tokens, (len(clean) + 0.5) / tokens
+    given = float(np.mean(list(model.odds.values()) or [1.0])) / max(-math.log(min(model.rate_all, 1.0)), 1.0)
+    model.lam = float((len(above) + 1) / ((above - model.level).sum() + given))
+    x = np.array([model.evidence(n, row)[0] for n, row in zip(sizes, scores)])
+    model.slope, model.bias = logistic(x, toxic) if model.odds else (0.0, logistic(x[:0], x[:0])[1])
     return model
 
 
@@ -242,15 +273,15 @@ class _Score:
         for pdf in parts:
             scores, evidence, spans = [], [], []
             for text in pdf["text"]:
-                n, found, chunks = scanner.scan(text)
-                e = scanner.evidence(n, found)
-                own = [x for x in found if scanner.evidence(n, [x]) > -math.log(self.most)]
+                e, own, chunks = scanner.judged(text)
+                if e <= -math.log(self.most):
+                    own = []
                 if own:
                     ends, at = [], 0
                     for c in chunks:
                         at = text.index(c, at) + len(c)
                         ends.append(at)
-                    own = [{"start": ends[a] - len(chunks[a]), "end": ends[b], "score": s} for a, b, s in own]
+                    own = [{"start": ends[a] - len(chunks[a]), "end": ends[b], "score": s} for a, b, s in sorted(own)]
                 scores.append(scanner.score(e))
                 evidence.append(e)
                 spans.append(own)
@@ -258,9 +289,10 @@ class _Score:
 
 
 def score(documents: DataFrame, model: Model, significance: float = 0.01) -> DataFrame:
-    """doc_id, score, evidence and every significant passage (character offsets) of each row.
+    """doc_id, score, evidence and the passages (character offsets) of each row.
 
-    Null and empty texts have no passage and score as a clean text of one word.
+    Passages are those that make out the evidence, where its chance in clean
+    text is below ``significance``. Null and empty texts have no passage and score as a clean text of one word.
     Repeated rows are scored each; other columns are left out.
     """
     common.small_batches(documents.sparkSession)
@@ -280,18 +312,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score 0.5 or more go, the rest stay whole."""
+    """Pipeline stage: documents that score 0.5 or more go, the rest stay whole.
+
+    Every row is judged for itself, so null and repeated ids change nothing;
+    null and empty texts are clean, an empty table gives an empty one, and other
+    columns are carried along.
+    """
     model = fit(docs, training_rows(common.table(spark, sf_dir, "labels")))
     common.small_batches(spark)
-    return docs.mapInPandas(_Keep(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(_Keep(model, [c.lower() for c in docs.columns].index("text")), docs.schema)
 
 
 class _Keep:
+    """Arrow batches without their toxic rows; no value is converted."""
+
     def __init__(self, model: Model, text: int):
         self.model, self.text = model, text
 
     def __call__(self, parts):
         scanner = Scanner(self.model)
-        for pdf in parts:
-            keep = [scanner.score(scanner.evidence(*scanner.scan(t)[:2])) < 0.5 for t in pdf.iloc[:, self.text]]
-            yield pdf[keep]
+        for batch in parts:
+            clean = [scanner.score(scanner.judged(t)[0]) < 0.5 for t in batch.column(self.text).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
