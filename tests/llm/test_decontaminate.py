@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from tidemark.llm import decontaminate
+from tidemark.llm import common, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -25,13 +25,17 @@ def brute(docs, items, width=13):
                     found.add(str(item))
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
-    return sorted(out)
+    return sorted(out, key=order)
+
+
+def order(row):
+    return row[0] is None, row
 
 
 def run(spark, docs, items):
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, term int")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, pos int")
-    return sorted(tuple(r) for r in decontaminate.decontaminate(spark, d, b).collect())
+    return sorted((tuple(r) for r in decontaminate.decontaminate(spark, d, b).drop("row").collect()), key=order)
 
 
 LONG = " ".join(f"w{k}" for k in range(30))
@@ -57,12 +61,29 @@ def test_repeated_rows_and_missing_ids(spark):
     assert len(got) == 2 and all(r[2] == 2 and r[3] == 1 for r in got)
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    half = LONG.split()[:13]
+    docs = [(1, " ".join(half[:7])), (1, "x " * 7 + " ".join(half[7:])), (1, LONG), (None, LONG), (None, "no hit"), (None, None)]
+    assert run(spark, docs, [(1, LONG)]) == brute(docs, [(1, LONG)])
+
+
+def test_the_stage_drops_rows_with_a_hit(spark, tmp_path):
+    spark.createDataFrame([(1, LONG)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, LONG, 0, "a"), (1, "clean", 0, "b"), (None, LONG, 0, "c"), (None, "clean", 0, "d"), (2, "z " * 5000 + LONG, 0, "e"), (3, None, 0, "f"), (4, "", 0, "g"), (4, "", 0, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, _row string")
+    got = decontaminate.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(r._row for r in got.collect()) == ["b", "d", "f", "g", "g"]
+    assert decontaminate.drop_contaminated(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_proximity(spark):
     items = decontaminate.item_terms(spark.createDataFrame([(1, LONG)], "item_id long, text string"))
-    docs = spark.createDataFrame([(1, LONG.replace("w14", "x")), (2, "w1 w2 w3")], "doc_id long, text string")
+    moved = LONG.replace("w14", "w14 x y").replace("w20 ", "")
+    docs = spark.createDataFrame([(1, LONG.replace("w14", "x")), (2, "w1 w2 w3"), (3, moved), (4, " ".join(reversed(LONG.split())))], "doc_id long, text string")
     index = decontaminate.Index(spark, docs, items)
-    near = decontaminate.proximity(decontaminate.matches(spark, index, items)).collect()
-    assert [(r.item, r.doc_id, r.diag) for r in near] == [("1", 1, 0)]
+    near = decontaminate.proximity(decontaminate.matches(spark, index, items, slack=2)).join(index.lengths, "row").collect()
+    assert sorted((r.item, r.doc_id, r.diag, round(30 * r.share)) for r in near) == [("1", 1, 0, 29), ("1", 3, 0, 29)]
 
 
 def test_no_python(spark):
@@ -70,3 +91,10 @@ def test_no_python(spark):
     found = decontaminate.op2_decontaminate(spark, sf)
     assert "Python" not in found._jdf.queryExecution().toString()
     assert found.count() == 200
+
+
+def test_no_python_in_the_steps(spark, monkeypatch):
+    plans, settle = [], common.settle
+    monkeypatch.setattr(common, "settle", lambda s, df, label: plans.append(df._jdf.queryExecution().toString()) or settle(s, df, label))
+    decontaminate.op2_decontaminate(spark, "/root/testdata/sf0.001")
+    assert len(plans) > 5 and not any("Python" in p or "InPandas" in p for p in plans)

@@ -114,7 +114,7 @@ def plan(spark: SparkSession, documents: DataFrame, weights=(1, 2, 3), most: flo
     rows = rows.withColumn("inner", F.coalesce(within, F.lit(0)))
     s2 = starts.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("b"), "start")
     rows = rows.join(s2, rows["source"].eqNullSafe(s2["s"]) & (rows["class"] == s2["c"]) & (rows["bucket"] == s2["b"])).drop("s", "c", "b")
-    rows = common.settle(spark, rows.withColumn("middle", F.col("start") + F.col("inner") + F.col("size") / 2), "mix-order")
+    rows = ordered = common.settle(spark, rows.withColumn("middle", F.col("start") + F.col("inner") + F.col("size") / 2), "mix-order")
     # quotas, longest class first; each class's is fixed by what the longer ones took
     carry = {s: 0.0 for s in by_source}
     quota: dict[tuple[str | None, int], float] = {}
@@ -135,7 +135,9 @@ def plan(spark: SparkSession, documents: DataFrame, weights=(1, 2, 3), most: flo
     rows = rows.join(F.broadcast(q), rows["source"].eqNullSafe(q["qs"]) & (rows["class"] == q["qc"])).drop("qs", "qc")
     extra = (F.col("share") > 0) & (F.col("middle") <= F.col("quota")) & (F.col("size") > 0)
     rows = rows.withColumn("copies", F.least(F.col("base") + extra.cast("int"), F.lit(int(most))))
-    return Plan(common.settle(spark, rows.select("row", "doc_id", "source", "size", "source_size", "target", "copies", "class", "bucket", "h"), "mix-plan"), seed)
+    made = common.settle(spark, rows.select("row", "doc_id", "source", "size", "source_size", "target", "copies", "class", "bucket", "h"), "mix-plan")
+    common.discard(spark, sized, starts, ordered)
+    return Plan(made, seed)
 
 
 class _Tree:
@@ -182,21 +184,33 @@ def mix(spark: SparkSession, made: Plan, shard_words: int = 50_000_000) -> DataF
     b = common.settle(spark, b.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("u"), F.col("copy").alias("y"), "shard"), "mix-drawn")
     d = made.rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = d.join(b, d["source"].eqNullSafe(F.col("s")) & (d["class"] == F.col("c")) & (d["bucket"] == F.col("u")) & (d["copy"] == F.col("y")))
-    return out.select("row", "doc_id", "source", "size", "copy", "shard", F.xxhash64(F.lit(made.seed + 2), "shard", "doc_id", "copy").alias("place"))
+    drawn = out.select("row", "doc_id", "source", "size", "copy", "shard", F.xxhash64(F.lit(made.seed + 2), "shard", "doc_id", "copy").alias("place"))
+    drawn = common.settle(spark, drawn, "mix-draws")
+    common.discard(spark, blocks, b)
+    return drawn
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = plan(spark, common.table(spark, sf_dir, "documents"))
-    drawn = common.settle(spark, mix(spark, made), "mix-draws")
+    drawn = mix(spark, made)
     taken = drawn.groupBy("row").agg(F.sum("size").alias("words"))
     rows = made.rows.select("row", "doc_id", "size", "source_size", "target").join(taken, "row", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document row as many times as the mix takes it."""
-    rows = common.numbered(spark, docs, "mix-rows")
-    drawn = common.settle(spark, mix(spark, plan(spark, rows)), "mix-draws")
-    copies = drawn.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    out = rows.join(copies, rows[common.ROW] == copies["row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(docs.columns)
+    """Pipeline stage: each document row as many times as the mix takes it.
+
+    Rows are told apart by a key of their own, so null and repeated ids change
+    nothing. A null source is a source; null and empty texts have size 0 and
+    are taken only with the whole copies of their source; an empty table gives
+    an empty mix. Other columns are carried along.
+    """
+    rows, key = common.numbered(spark, docs, "mix-rows")
+    made = plan(spark, rows.select(F.col(key).alias(common.ROW), "doc_id", "source", "text"))
+    drawn = mix(spark, made)
+    copies = common.settle(spark, drawn.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n")), "mix-copies")
+    common.discard(spark, made.rows, drawn)
+    out = rows.join(copies, rows[key] == copies["row"])
+    made = out.select(*(rows[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies["n"])).alias(key))
+    return common.columns(made, docs.columns)

@@ -119,7 +119,9 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         parent = after
         if not moving:
             common.discard(spark, both)
-            return parent.select("id", F.col("p").alias("root"))
+            roots = parent.select("id", F.col("p").alias("root"))
+            roots._tidemark_path = parent._tidemark_path
+            return roots
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -135,7 +137,9 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, radius: int = 2)
     edges = links(spark, reps, radius)
     roots = components(spark, edges)
     known = common.settle(spark, reps.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "simhash-components")
-    return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    made = common.settle(spark, prints.join(known, "fp", "left").select("doc_id", "fp", "component_id"), "simhash")
+    common.discard(spark, prints, reps, edges, roots, known)
+    return made
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +154,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and rows without an id are linked like any other and stay only where their
     group has no id.
     """
-    rows = common.numbered(spark, docs, "simhash-rows")
-    prints = rows.select(F.col(common.ROW).alias("doc_id"), "text")
+    rows, key = common.numbered(spark, docs, "simhash-rows")
+    prints = rows.select(F.col(key).alias("doc_id"), "text")
     found = near_duplicates(spark, prints).select(F.col("doc_id").alias("row"), "component_id")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(common.ROW).alias("row"))
-    keep = rows.select(common.ROW, "doc_id").join(found, F.col(common.ROW) == F.col("row")).groupBy("component_id").agg(F.min(first).alias("x"))
-    return rows.join(keep.select(F.col("x.row").alias("kept")), F.col(common.ROW) == F.col("kept"), "left_semi").select(docs.columns)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row"))
+    keep = rows.select(F.col(key).alias("key"), "doc_id").join(found, F.col("key") == F.col("row")).groupBy("component_id").agg(F.min(first).alias("x")).select(F.col("x.row").alias("kept"))
+    return common.columns(rows.join(keep, rows[key] == keep["kept"], "left_semi"), docs.columns)
