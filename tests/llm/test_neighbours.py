@@ -74,16 +74,48 @@ def test_recall_on_a_larger_table(spark):
     assert recall(want, results(neighbours.op10_neighbours(spark, sf))) >= 0.93
 
 
-def test_the_beam_widens_until_the_checked_queries_find_their_nearest(spark, monkeypatch):
-    x = np.random.default_rng(3).normal(size=(3000, 32))
-    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(neighbours, "LEAST_RECALL", 1.0)
-    assert recall(brute(list(range(3000)), x), results(neighbours.nearest(spark, df))) == 1.0
+def table_of(spark, x, ids=None):
+    ids = range(len(x)) if ids is None else ids
+    return spark.createDataFrame([(int(k), [float(c) for c in v]) for k, v in zip(ids, x)], "vec_id long, embedding array<double>")
+
+
+def test_far_off_clustered_and_copied_vectors(spark):
+    rng = np.random.default_rng(6)
+    far = 1e8 + rng.normal(size=(3000, 4))
+    clusters = np.repeat(rng.normal(size=(30, 8)) * 1e3, 100, axis=0) + rng.normal(size=(3000, 8)) * 1e-2
+    copies = rng.normal(size=(2000, 6))
+    copies[rng.random(2000) < 0.5] = copies[7]
+    for x in (far, clusters, copies):
+        want, got = brute(list(range(len(x))), x), results(neighbours.nearest(spark, table_of(spark, x)))
+        assert sorted(got) == sorted(want)
+        hits = [np.mean([s <= want[q][-1][1] * (1 + 1e-12) for _, s in got[q]]) for q in want]  # ties are as good
+        assert np.mean(hits) >= 0.95 and all(len(got[q]) == 10 for q in want)
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=3 + k % 3).tolist()) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = results(neighbours.nearest(spark, df))
+    for q, found in got.items():
+        same = [(float(np.sqrt(((np.array(v) - np.array(rows[q][1])) ** 2).sum())), k) for k, v in rows if k != q and k % 3 == q % 3]
+        assert [i for i, _ in found] == [k for _, k in sorted(same)[:10]]
+
+
+def test_comparing_with_all_is_the_last_way(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1500, 32))
+    monkeypatch.setattr(neighbours, "LEAST_RECALL", 1.01)
+    monkeypatch.setattr(neighbours, "BEAMS", (4,))
+    monkeypatch.setattr(neighbours, "VECTOR_BYTES", 4096)  # several blocks of queries
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 0)  # and every join by shuffle
+    assert recall(brute(list(range(1500)), x), results(neighbours.nearest(spark, table_of(spark, x)))) == 1.0
 
 
 def test_a_graph_that_does_not_settle_is_an_error(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(3000, 32))
     df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "LEAST_RECALL", 1.01)  # beyond reach: only an unchanged graph would do
     with pytest.raises(RuntimeError, match="settle"):
         neighbours.nearest(spark, df)

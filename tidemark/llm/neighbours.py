@@ -34,8 +34,8 @@ REVERSE = 48
 TREES = 8
 BLOCK = 4096
 PIVOTS = 512
-#: Bytes of vectors that a block, a set of pivots or a broadcast holds at most.
-VECTOR_BYTES = 32 << 20
+#: Bytes of vectors that a block or a set of pivots holds at most, and that are broadcast at most; beyond it joins go by shuffle.
+VECTOR_BYTES, BROADCAST_BYTES = 32 << 20, 20 << 20
 #: Lengths of vectors that get a centre and pivots of their own, commonest first; other lengths are ordered by a projection only.
 DIMS = 16
 #: Rounds and hops end as said below; running out of them is an error.
@@ -84,7 +84,7 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sized(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= VECTOR_BYTES else df
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 class _Narrow:
@@ -291,7 +291,7 @@ def build(spark: SparkSession, nodes: DataFrame, k: int = K, settled_share: floa
         # nothing new can come of a node whose neighbours are all old
         mids = mids.withColumn("any", F.max("new").over(Window.partitionBy("mid"))).where("any").drop("any")
         local = mids.join(_sized(known, size), "member").select("mid", "member", "new", "worst", "dim", "x")
-        if size > VECTOR_BYTES:
+        if size > BROADCAST_BYTES:
             local = local.repartition("mid")
         found = local.sortWithinPartitions("mid").mapInPandas(_pairs, "node long, nbr long, d float").withColumn("new", F.lit(True))
         # by node, which does for the list as well; a pair of the old list is not new
