@@ -22,12 +22,13 @@ from tidemark.llm import common
 #: Characters of a piece; long texts would otherwise soon be their own dictionary.
 PIECE = 1600
 UNKNOWN = "und"
-MAX_LANGUAGES = 200
+#: Bytes of all dictionaries; where there are so many languages that full ones don't fit, each gets its share.
+MODEL_BYTES = 32 << 20
 
 
 @dataclass
 class Model:
-    """At most ``MAX_LANGUAGES`` dictionaries of bounded size."""
+    """Dictionaries of ``MODEL_BYTES`` together at most."""
 
     dictionaries: dict[str, bytes]
     level: int = 6  # lower levels search the dictionary too coarsely to tell languages apart
@@ -37,27 +38,30 @@ def fit(documents: DataFrame, dictionary_bytes: int = 96 << 10, slice_chars: int
     """Dictionaries of the languages of ``documents`` (text, lang).
 
     Only rows with a language and a text take part. A dictionary holds slices,
-    from anywhere in a text, of at most ``slice_chars`` characters of about ``most`` times as many distinct
-    texts as fit, the ones with the smallest hashes, so no single document or
-    group of copies fills it.
+    from anywhere in a text, of at most ``slice_chars`` characters of about
+    ``most`` times as many different texts as fit, by the hash of the text. Copies
+    of a text count once throughout, so no single document or group of copies fills
+    a dictionary or crowds a language's other texts out.
     """
     spark = documents.sparkSession
     known = documents.where("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
     start = F.pmod("h", F.greatest(F.length("text") - F.lit(slice_chars), F.lit(0)) + 1).cast("int") + 1
     known = known.select("lang", F.lower(F.substr("text", start, F.lit(slice_chars))).alias("t"), "h")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not sizes:
         return Model({})
+    dictionary_bytes = max(1, min(dictionary_bytes, MODEL_BYTES // len(sizes)))
     wanted = most * dictionary_bytes / (slice_chars // 2)
-    share = spark.createDataFrame([(r["lang"], min(1.0, wanted / r["n"])) for r in sizes], "lang string, share double")
+    # a language of few texts always keeps some: shares are at least what makes eight texts likely
+    share = spark.createDataFrame([(r["lang"], min(1.0, max(wanted, 8.0) / r["n"])) for r in sizes], "lang string, share double")
     unit = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) / float(1 << 20)
     rows = known.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", "t", "h").distinct().orderBy("lang", "h", "t").collect()
     parts: dict[str, list[bytes]] = {}
     held: dict[str, int] = {}
     for r in rows:
-        b = (r["t"] + "\n").encode()
+        b = (r["t"] + "\n").encode("utf-8", "replace")
+        if not held.get(r["lang"]):
+            b = b[:dictionary_bytes]
         if held.get(r["lang"], 0) + len(b) <= dictionary_bytes:
             parts.setdefault(r["lang"], []).append(b)
             held[r["lang"]] = held.get(r["lang"], 0) + len(b)

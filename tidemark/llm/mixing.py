@@ -22,6 +22,8 @@ from tidemark.llm import common
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of up to so many words fill up what longer ones leave of a quota.
 CLASSES = (64, 512, 4096)
+#: Documents that a block holds about at most, however short they are.
+BLOCK_DOCS = 50_000
 #: Sources are the mixture's components, each with a weight of its own; more than this is refused.
 MAX_SOURCES = 100_000
 
@@ -99,7 +101,7 @@ def plan(spark: SparkSession, documents: DataFrame, weights=(1, 2, 3), most: flo
         e = goal[s] / sizes[s] if sizes[s] else 0.0
         base = int(min(e, most))
         for c, (words, docs) in classes.items():
-            buckets = int(max(1, min(words // block_words + 1, docs)))
+            buckets = int(max(1, min(max(words // block_words, docs // BLOCK_DOCS) + 1, docs)))
             meta.append((s, c, sizes[s], float(goal[s]), base, float(e - base), int(words), buckets))
     schema = "source string, class int, source_size long, target double, base int, share double, words long, buckets int"
     known = spark.createDataFrame(meta, schema)
@@ -191,11 +193,12 @@ def mix(spark: SparkSession, made: Plan, shard_words: int = 50_000_000) -> DataF
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``draws``: the shard and the place in it of every copy, null for rows not taken."""
     made = plan(spark, common.table(spark, sf_dir, "documents"))
     drawn = mix(spark, made)
-    taken = drawn.groupBy("row").agg(F.sum("size").alias("words"))
+    taken = drawn.groupBy("row").agg(F.sum("size").alias("words"), F.array_sort(F.collect_list(F.struct("copy", "shard", "place"))).alias("draws"))
     rows = made.rows.select("row", "doc_id", "size", "source_size", "target").join(taken, "row", "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "draws")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
