@@ -239,6 +239,48 @@ def test_auto_normalizer(spark, tmp_path):
     np.testing.assert_allclose(pdf[pdf["pair"] == "a"]["roc_10__rolling_z"].to_numpy(float), want.to_numpy(), rtol=1e-6, atol=1e-9)
 
 
+def test_the_normalisers_choice():
+    n = AutoFeatureNormalizer()
+    calm = {"ratio": 0.1, "skew": 0.5, "outliers": 3.0, "unique": 500, "scale": 0.1}
+    for change, want in (
+        ({}, ["rolling_robust", "rolling_z"]),
+        ({"unique": 9}, ["rolling_robust"]),
+        ({"ratio": 0.5}, ["rolling_robust", "rolling_z"]),
+        ({"ratio": 0.5, "skew": 1.9}, ["signed_log1p", "rolling_robust"]),
+        ({"skew": 1.5}, ["signed_log1p", "rolling_robust", "rolling_z"]),
+        ({"outliers": 25.0, "scale": 0.8}, ["rolling_winsor", "rolling_robust", "rolling_rank"]),
+    ):
+        assert n.decide(**calm | change) == want, change
+    plain = AutoFeatureNormalizer(always_include=("rank", "winsor"), allow_multi=False)
+    assert plain.decide(**calm) == ["rolling_winsor", "rolling_rank", "rolling_z"]
+    assert plain.decide(**calm | {"scale": 2.0}) == ["rolling_winsor", "rolling_rank", "rolling_robust"]
+
+
+def test_the_normalisers_methods_against_plain_loops(spark):
+    df = walk(160)[["pair", "ts"]]
+    x = np.random.default_rng(2).normal(size=160) ** 3
+    x[[20, 90]] = np.nan
+    rows = [(p, t.to_pydatetime(), None if math.isnan(v) else float(v)) for p, t, v in zip(df["pair"], df["ts"], x)]
+    methods = ["signed_log1p", "rolling_winsor", "rolling_robust", "rolling_z", "rolling_rank"]
+    n = AutoFeatureNormalizer(window=30, warmup=20)
+    n.artifact = {"version": 1, "config": {}, "feature_cols": ["x"], "plan": {"x": {"methods": methods}}}
+    got = n.transform(spark.createDataFrame(rows, "pair string, ts timestamp_ntz, x double")).toPandas().sort_values("ts").reset_index(drop=True)
+    for k in range(160):
+        w = [v for v in x[max(k - 29, 0) : k + 1] if not math.isnan(v)]
+        s, full = sorted(w), len(w) >= 20 and not math.isnan(x[k])
+        q = lambda share: s[int(math.floor((len(s) - 1) * share + 0.5))]  # noqa: B023, E731
+        want = {
+            "signed_log1p": None if math.isnan(x[k]) else math.copysign(math.log1p(abs(x[k])), x[k]),
+            "rolling_winsor": min(max(x[k], q(0.01)), q(0.99)) if full else None,
+            "rolling_robust": (x[k] - float(np.median(s))) / (q(0.75) - q(0.25) + 1e-8) if full else None,
+            "rolling_z": (x[k] - np.mean(s)) / (np.std(s, ddof=1) + 1e-8) if full else None,
+            "rolling_rank": (x[k] - s[0]) / (s[-1] - s[0] + 1e-8) if full else None,
+        }
+        for m in methods:
+            v = got[f"x__{m}"][k]
+            assert (want[m] is None and np.isnan(v)) or v == pytest.approx(want[m], rel=1e-9, abs=1e-12), (k, m)
+
+
 def test_bars_and_resampling(spark):
     hourly = bars.hourly(spark, SF)
     daily = bars.resample(hourly, "1 day")
