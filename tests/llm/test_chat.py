@@ -71,6 +71,16 @@ def test_against_sql(spark):
     assert sorted(tuple(r) for r in chat.op3_chat(spark, sf).select(cols).collect()) == sorted(want)
 
 
+def test_a_real_conversation_with_the_forged_ones_id(spark, tmp_path):
+    rows = [(-1, 0, "user", "hello"), (-1, 1, "assistant", "ok then"), (2, 0, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op3_chat(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in got) == [(-1, 2, 7), (-1, 2, len(chat.FORGED)), (2, 1, 0)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(chat.OP3_SQL).fetchall())
+
+
 def test_no_python(spark):
     plan = chat.op3_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

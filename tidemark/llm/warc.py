@@ -155,6 +155,8 @@ def chain(spark: SparkSession, found: DataFrame) -> DataFrame:
         if reached == known:
             break
         known = reached
+    else:
+        raise RuntimeError(f"the chains did not end in {ROUNDS} doublings")
     real = state.where("real").select(F.col("file").alias("f"), F.col("offset").alias("o"))
     out = placed.join(real, (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o")), "left").select(*key, "offset", "next", "n", F.col("o").isNotNull().alias("real"))
     out = common.settle(spark, out, "warc-real")
