@@ -63,3 +63,10 @@ def test_the_mix_of_odd_rows(spark, tmp_path, stored):
     for s in total:
         assert abs(sum(c * size[n] for n, c in taken.items() if source[n] == s) - want[s]) <= 50
     assert mixing.mix_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_of_too_many_files_are_settled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "NUMBERED_FILES", 2)
+    spark.range(90).repartition(5).write.parquet(f"{tmp_path}/t")
+    got, key = common.numbered(spark, spark.read.parquet(f"{tmp_path}/t"), "t")
+    assert got._tidemark_path and got.select(key).distinct().count() == 90

@@ -15,6 +15,9 @@ BATCH_ROWS = 256
 #: The column by which operators tell rows apart; :func:`numbered` adds it or one like it.
 ROW = "_row"
 
+#: Names of files that are broadcast at most (some 200 bytes each).
+NUMBERED_FILES = 100_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,7 +70,8 @@ def numbered(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame,
     """``df`` with a key of its rows, for ids that may be null or repeated, and the key's column: one that ``df`` lacks.
 
     Rows of files go by their file's number and their place in it, which any
-    later read finds again; anything else is settled under running numbers.
+    later read finds again; anything else, and rows of more than
+    ``NUMBERED_FILES`` files, are settled under running numbers.
     """
     key = free_name(df, ROW)
     if _scans_files(df):
@@ -76,7 +80,7 @@ def numbered(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame,
             files = settle(spark, files, f"{label}-files")
         except AnalysisException:  # a format without places
             files = None
-        if files is not None and files.count() <= 1 << 20:
+        if files is not None and files.count() <= NUMBERED_FILES:
             numbers = spark.createDataFrame([(r["path"], k) for k, r in enumerate(files.select("path").orderBy("path").collect())], "_path string, _file long")
             discard(spark, files)
             at_file, at_row = free_name(df, "_at_file"), free_name(df, "_at_row")
