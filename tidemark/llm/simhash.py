@@ -9,6 +9,8 @@ missed (Pagh's covering masks).
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -20,6 +22,8 @@ from tidemark.llm import common
 BITS = 64
 #: A bucket with more fingerprints than this goes the exact way of shared neighbours instead of pairs.
 PAIRED = 24
+#: Shingles of a text that are counted at a time.
+PART = 1 << 14
 
 
 def words(text: str | None) -> list[bytes]:
@@ -32,15 +36,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     w, h = words(text), xxhash.xxh64_intdigest
     if not w:
         return 0
-    if len(w) < width:
-        hashes = [h(b" ".join(w), 42)]
-    else:
-        hashes = [h(s, 42) for s in map(b" ".join, zip(*(w[k:] for k in range(width))))]
-    votes = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 14):  # bounded memory for texts of any length
-        part = np.array(hashes[at : at + (1 << 14)], dtype="<u8")
+    shingles = map(b" ".join, zip(*(islice(w, k, None) for k in range(width)))) if len(w) >= width else iter([b" ".join(w)])
+    votes, n = np.zeros(BITS, dtype=np.int64), max(len(w) - width + 1, 1)
+    for at in range(0, n, PART):  # besides its words, a text of any length takes bounded memory
+        size = min(PART, n - at)
+        part = np.fromiter((h(s, 42) for s in islice(shingles, size)), dtype="<u8", count=size)
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > len(hashes), bitorder="little")
+    bits = np.packbits(2 * votes > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
