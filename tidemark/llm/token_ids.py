@@ -297,36 +297,45 @@ class Encoder:
         return _bytes([t.id for t in self.model.tokenize(mapped.replace(" ", "\u0120"))])
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        held, size = [], 0
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        About ``PART`` characters are in pieces at a time, however long a text is.
+        """
+        made: list[list[bytes]] = []  # of each text that isn't handed on yet, the ids of its parts
+        held: list[tuple[list[bytes], str]] = []  # parts that wait, and where their ids go
+        size = 0
         for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= self.PART:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+            made.append([])
+            for part in self.parts(text or ""):
+                held.append((made[-1], part))
+                size += len(part)
+                if size >= self.PART:
+                    self._encode(held)
+                    held, size = [], 0
+            if not held:
+                yield from map(b"".join, made)
+                made = []
+        self._encode(held)
+        yield from map(b"".join, made)
+
+    def _encode(self, held: list[tuple[list[bytes], str]]) -> None:
         flat: list[str] = []
-        spans: list[list[bytes | tuple[int, int]]] = []  # of each text: ids, or where its pieces stand
-        for text in texts:
-            spans.append([])
-            for part in self.parts(text):
-                pieces = self.pieces(part)
-                if pieces is None:
-                    spans[-1].append(self.direct(part))
-                else:
-                    spans[-1].append((len(flat), len(flat) + len(pieces)))
-                    flat += pieces
+        spans: list[tuple[list[bytes], bytes | tuple[int, int]]] = []  # ids, or where a part's pieces stand
+        for own, part in held:
+            pieces = self.pieces(part)
+            if pieces is None:
+                spans.append((own, self.direct(part)))
+            else:
+                spans.append((own, (len(flat), len(flat) + len(pieces))))
+                flat += pieces
         ids = [*map(self.new.get, flat)]
         missing = [k for k, x in enumerate(ids) if x is None]
         long, get = self.learn({flat[k] for k in missing}), self.new.get
         for k in missing:
             p = flat[k]
             ids[k] = long[p] if (x := get(p)) is None else x
-        for span in spans:
-            yield b"".join(x if isinstance(x, bytes) else b"".join(ids[x[0] : x[1]]) for x in span)
+        for own, x in spans:
+            own.append(x if isinstance(x, bytes) else b"".join(ids[x[0] : x[1]]))
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
