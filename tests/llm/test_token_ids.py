@@ -1,4 +1,5 @@
 import json
+import sys
 import zlib
 
 import numpy as np
@@ -96,3 +97,58 @@ def test_other_tokenizer_files_are_encoded_whole(encoder):
     assert not other.plain
     text = "Some WORDS here.\nAnd it's more " * 20
     assert other.encode(text) == other.direct(text) and list(other.encode_all([text, None])) == [other.direct(text), b""]
+
+
+def calls(work) -> int:
+    """Calls, of Python's and of C's functions, that ``work`` makes."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def made_up(start: int, n: int) -> list[str]:
+    return ["".join(chr(97 + int(c)) for c in str(k * 7919 + 1_000_003)) + (".", "&&", "é")[k % 3] for k in range(start, start + n)]
+
+
+def test_new_words_and_full_blocks_take_few_calls():
+    fresh, text = token_ids.Encoder(PATH), " ".join(made_up(0, 20_000))
+    assert calls(lambda: fresh.encode(text)) < 9 * 20_000
+    ids = np.frombuffer(fresh.encode(text), dtype="<u4")
+    assert fresh.encode(text) == fresh.direct(text)
+    assert calls(lambda: token_ids.block(ids, 0, 0, 0, [(1, len(ids))])) < len(ids) / 100
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aZé×÷ÿªµñ½9²0'’.&_ \nçÀ漢"), max_size=30))
+def test_latin_letters_and_signs_have_the_ids_of_the_text(encoder, text):
+    assert encoder.encode(text) == encoder.direct(text)
+
+
+def test_many_empty_texts_do_not_wait(encoder):
+    taken = 0
+
+    def texts():
+        nonlocal taken
+        for taken in range(1, 400_001):
+            yield None
+
+    assert next(encoder.encode_all(texts())) == b"" and taken < 400_000
+
+
+def test_the_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_ids.Encoder, "MEMORY", 1000)
+    fresh, most = token_ids.Encoder(PATH), 0
+    for k in range(0, 6000, 100):
+        for text in (" ".join(made_up(k, 100)), " ".join(made_up(max(k - 900, 0), 100))):  # new words, and some met before
+            assert fresh.encode(text) == fresh.direct(text)
+            most = max(most, sum(len(x) for x in vars(fresh).values() if isinstance(x, dict)))
+    assert most <= 1000 + 2 * 200

@@ -26,13 +26,15 @@ from __future__ import annotations
 import array
 import json
 import os
-import re
+import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,12 +107,11 @@ def pack(values: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype="<u8")
     best = _selectors(needs(v) if need is None else need)
-    after = (np.arange(n) + np.array(COUNTS)[best]).tolist()
-    places, i = [], 0
+    steps, starts, i = np.array(COUNTS, dtype=np.uint8)[best].tobytes(), bytearray(n), 0
     while i < n:
-        places.append(i)
-        i = after[i]
-    start = np.array(places)
+        starts[i] = 1
+        i += steps[i]
+    start = np.flatnonzero(np.frombuffer(starts, dtype=np.uint8))
     sel = best[start]
     words = sel.astype(np.uint64) << np.uint64(60)
     for k in np.unique(sel):
@@ -183,7 +184,8 @@ def _bytes(ids: list[int]) -> bytes:
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others for what follows U+0100, in order.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+_BYTES = np.arange(0x100)
+_BYTE_LEVEL = np.where(np.isin(_BYTES, [*_PRINTED]), _BYTES, 0xFF + np.cumsum(~np.isin(_BYTES, [*_PRINTED]))).astype("<u2")
 
 
 class Encoder:
@@ -192,22 +194,24 @@ class Encoder:
     A byte-level pre-tokenizer starts a new pre-token at a single space between
     two other characters and makes a line feed one of its own (two are two), so
     such pieces have the same ids alone as in their text. Pieces of ASCII and
-    Latin letters fall into pre-tokens by :attr:`PARTS`, which go straight to
-    the tokenizer's model. Texts with other white space, and all texts of a
-    tokenizer whose file says anything else (:meth:`cuts`), are encoded whole.
+    Latin letters fall further into runs of letters, digits or signs, each with
+    the space before it, which go straight to the tokenizer's model. Texts with
+    other white space, and all texts of a tokenizer whose file says anything
+    else (:meth:`cuts`), are encoded whole.
+
+    About ``PART`` characters are cut at a time, as bytes; each different piece
+    among them is looked up once.
     """
 
-    #: Pieces learned until the memory is sorted out, and pieces met again that are kept at most.
-    MEMORY, KEPT = 300_000, 300_000
+    #: Pieces remembered at most: half of them recent, half from before.
+    MEMORY = 500_000
     SHORT = 40
     #: Characters that are cut into pieces at a time.
-    PART = 1 << 20
-    #: ASCII signs but the apostrophe, which may open a contraction.
-    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    #: Pieces that PARTS can cut.
-    PLAIN = re.compile("[ ]?[!-&(-~À-ÖØ-öø-ÿ]+")
-    #: Pre-tokens of a plain piece: letters, digits or signs, with the space before them.
-    PARTS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+|[ ]?[0-9]+|[ ]?[!-&(-/:-@\\[-`{-~]+")
+    PART = 1 << 21
+    #: Kinds of bytes, of which a run is one pre-token: space, line feed, letters, digits, signs.
+    KINDS = np.select([_BYTES == 32, _BYTES == 10, np.isin(_BYTES, [*string.digits.encode()]), np.isin(_BYTES, [*string.ascii_letters.encode()]) | (_BYTES > 127)], [0, 1, 2, 3], 4).astype(np.uint8)
+    #: Bytes whose pieces only the whole tokenizer cuts: the apostrophe, which may open a contraction, and beginnings of all but Latin letters.
+    ODD = np.isin(_BYTES, [39, *range(0xC0, 0xC3), *range(0xC4, 0x100)])
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -217,9 +221,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = self.cuts(json.loads(self.tokenizer.to_str()))
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.kept: dict[str, bytes] = {"": b""}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def cuts(spec: dict) -> bool:
@@ -233,13 +236,33 @@ class Encoder:
     def direct(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces that can be encoded alone, or None."""
+    def apart(self, text: str) -> bool:
+        """Whether the text's pieces can be encoded alone."""
         if not self.plain or not text.replace("\n", "").isprintable() or any(x in text for x in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n"):
-            return None
-        if any(x in text for x in self.special):  # they part a text before anything else does
-            return None
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            return False
+        return not any(x in text for x in self.special)  # they part a text before anything else does
+
+    def odd(self, v: np.ndarray) -> np.ndarray:
+        """Which bytes make their piece one for the whole tokenizer."""
+        odd = self.ODD[v]
+        odd[1:] |= (v[:-1] == 0xC3) & ((v[1:] == 0x97) | (v[1:] == 0xB7))  # signs among Latin letters
+        return odd
+
+    def starts(self, v: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where pieces start among the bytes of texts that start at ``texts``."""
+        kind = self.KINDS[v]
+        outer = kind < 2
+        outer[1:] |= kind[:-1] == 1
+        outer[texts] = True
+        inner = np.zeros(len(v), dtype=bool)
+        inner[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        odd = np.flatnonzero(self.odd(v))
+        if len(odd):
+            at = np.append(np.flatnonzero(outer), len(v))
+            own = np.unique(np.searchsorted(at, odd, side="right"))
+            for a, b in zip(at[own - 1].tolist(), at[own].tolist()):
+                inner[a:b] = False
+        return np.flatnonzero(outer | inner)
 
     def parts(self, text: str) -> list[str]:
         """Long texts cut at single spaces."""
@@ -256,47 +279,40 @@ class Encoder:
             at = k
         return [*out, text[at:]]
 
-    def learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Take up the ids of pieces that are not at hand; returns those of pieces too long to be remembered.
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces; those not at hand are worked out, and remembered if they are short.
 
-        When the memory is full, what was met in two of its times stays, what
-        was learned last gets a second chance, and the rest is forgotten.
+        When the recent half of the memory is full, it becomes the other half,
+        and what of that wasn't met again is forgotten.
         """
-        if len(self.new) >= self.MEMORY + len(self.kept):
-            if len(self.kept) > self.KEPT:
-                self.kept = {"": b""}
-            self.old, self.new = self.new, dict(self.kept)
-        new, old, kept, long, odd = self.new, self.old, self.kept, {}, []
-        for p in unknown:
-            if (ids := old.get(p)) is not None:
-                kept[p] = new[p] = ids
-                continue
-            w = p.rstrip(self.SIGNS)
-            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
-                parts = (w, p[len(w) :]) if len(w) < len(p) else (w,)
-            elif self.PLAIN.fullmatch(p):
-                parts = self.PARTS.findall(p)
-            else:
-                odd.append(p)
-                continue
-            ids = b""
-            for w in parts:
-                if (x := new.get(w)) is None:
-                    x = old.get(w) or self.word(w)
-                    if len(w) <= self.SHORT:
-                        new[w] = x
-                ids += x
-            (new if len(p) <= self.SHORT else long)[p] = ids
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
-            (new if len(p) <= self.SHORT else long)[p] = _bytes(e.ids)
-        return long
-
-    def word(self, word: str) -> bytes:
-        """The ids of one pre-token of ASCII and Latin letters."""
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return _bytes([t.id for t in self.model.tokenize(mapped.replace(" ", "\u0120"))])
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        ids = [*map(self.new.get, pieces)]
+        missing = [k for k, x in enumerate(ids) if x is None]
+        fresh, old = [], self.old.get
+        for k in missing:
+            ids[k] = x = old(pieces[k])
+            if x is None:
+                fresh.append(k)
+        for k, x in zip(fresh, self.work_out([pieces[k] for k in fresh])):
+            ids[k] = x
+        self.new.update((pieces[k], ids[k]) for k in missing if len(pieces[k]) <= self.SHORT)
+        if len(self.new) >= self.MEMORY // 2:
+            self.old, self.new = self.new, {}
+        return ids
+
+    def work_out(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """The ids of each piece: by the model from pre-tokens, by the whole tokenizer from odd ones."""
+        if not pieces:
+            return
+        v = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)  # no piece holds a zero
+        ends = np.flatnonzero(v == 0)
+        odd = np.logical_or.reduceat(self.odd(v), np.append(0, ends[:-1] + 1))
+        whole = [pieces[k].decode() for k in np.flatnonzero(odd)]
+        whole = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        tokenize, words = self.model.tokenize, _BYTE_LEVEL[v].tobytes().decode("utf-16-le").split(chr(_BYTE_LEVEL[0]))
+        for word, is_odd in zip(words, odd.tolist()):
+            yield _bytes(next(whole).ids if is_odd else [t.id for t in tokenize(word)])
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
         About ``PART`` characters are in pieces at a time, however long a text is.
@@ -308,7 +324,7 @@ class Encoder:
             made.append([])
             for part in self.parts(text or ""):
                 held.append((made[-1], part))
-                size += len(part)
+                size += len(part) + 16  # many empty texts are a part, too
                 if size >= self.PART:
                     self._encode(held)
                     held, size = [], 0
@@ -319,23 +335,30 @@ class Encoder:
         yield from map(b"".join, made)
 
     def _encode(self, held: list[tuple[list[bytes], str]]) -> None:
-        flat: list[str] = []
-        spans: list[tuple[list[bytes], bytes | tuple[int, int]]] = []  # ids, or where a part's pieces stand
+        cut, texts, at = [], [], [0]
         for own, part in held:
-            pieces = self.pieces(part)
-            if pieces is None:
-                spans.append((own, self.direct(part)))
-            else:
-                spans.append((own, (len(flat), len(flat) + len(pieces))))
-                flat += pieces
-        ids = [*map(self.new.get, flat)]
-        missing = [k for k, x in enumerate(ids) if x is None]
-        long, get = self.learn({flat[k] for k in missing}), self.new.get
-        for k in missing:
-            p = flat[k]
-            ids[k] = long[p] if (x := get(p)) is None else x
-        for own, x in spans:
-            own.append(x if isinstance(x, bytes) else b"".join(ids[x[0] : x[1]]))
+            if not self.apart(part):
+                own.append(self.direct(part))
+            elif part:
+                cut.append(own)
+                texts.append(part.encode())
+                at.append(at[-1] + len(texts[-1]))
+        if not cut:
+            return
+        joined = b"".join(texts)
+        starts = self.starts(np.frombuffer(joined, dtype=np.uint8), np.array(at[:-1]))
+        offsets = np.append(starts, len(joined)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        _, bounds, content = pieces.dictionary.buffers()
+        bounds, content = np.frombuffer(bounds, dtype=np.int32)[: len(pieces.dictionary) + 1].tolist(), content.to_pybytes()
+        found = self.look_up([content[a:b] for a, b in zip(bounds, bounds[1:])])
+        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+        each = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+        ids = each.take(pieces.indices).flatten().to_numpy().tobytes()
+        ends = np.append(0, np.cumsum(sizes[pieces.indices.to_numpy()], dtype=np.int64))
+        ends = (4 * ends[np.searchsorted(starts, at)]).tolist()
+        for own, a, b in zip(cut, ends, ends[1:]):
+            own.append(ids[a:b])
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
@@ -362,17 +385,24 @@ class _Write:
         def close(ids: np.ndarray) -> pd.DataFrame:
             return pd.DataFrame({"block": [block(ids, shard, number, before, docs)]})
 
-        for pdf in parts:
-            for doc_id, ids in zip(pdf["doc_id"], encoder.encode_all(pdf["text"])):
-                ids = np.frombuffer(ids + end, dtype="<u4")
-                while size + len(ids) > BLOCK_IDS:
-                    held.append(ids[: BLOCK_IDS - size])
-                    ids = ids[BLOCK_IDS - size :]
-                    yield close(np.concatenate(held))
-                    held, size, number, before, docs = [], 0, number + 1, before + BLOCK_IDS, []
-                held.append(ids)
-                size += len(ids)
-                docs.append((None if pd.isna(doc_id) else int(doc_id), size))
+        waiting: deque = deque()
+
+        def texts():
+            for pdf in parts:
+                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                    waiting.append(doc_id)
+                    yield text
+
+        for ids in encoder.encode_all(texts()):
+            doc_id, ids = waiting.popleft(), np.frombuffer(ids + end, dtype="<u4")
+            while size + len(ids) > BLOCK_IDS:
+                held.append(ids[: BLOCK_IDS - size])
+                ids = ids[BLOCK_IDS - size :]
+                yield close(np.concatenate(held))
+                held, size, number, before, docs = [], 0, number + 1, before + BLOCK_IDS, []
+            held.append(ids)
+            size += len(ids)
+            docs.append((None if pd.isna(doc_id) else int(doc_id), size))
         if size:
             yield close(np.concatenate(held))
 
