@@ -96,6 +96,37 @@ def test_sql_agrees_on_divergences(spark):
     assert fired > 20
 
 
+@pytest.fixture(scope="module")
+def zero_lows(tmp_path_factory):
+    """sf0.01, but 0 is the second of three and more events of some hours: a low without a logarithm."""
+    events = pd.read_parquet("/root/testdata/sf0.01/events.parquet").sort_values(["ts", "event_id"])
+    hour = events.groupby(["event_type", events["ts"].dt.floor("h")])
+    events.loc[(hour.cumcount() == 1) & (hour["value"].transform("size") > 2) & (hour.ngroup() % 60 == 30), "value"] = 0.0
+    path = tmp_path_factory.mktemp("zero_lows")
+    events.to_parquet(path / "events.parquet", index=False)
+    return str(path)
+
+
+def same_as_sql(spark, sf, name):
+    """The query's results and the SQL's, by pair and time, both as they are."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    got = queries.queries()[name](spark, sf)
+    rows = got.orderBy("pair", "ts").collect()
+    sql = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle.build()[name]}) ORDER BY pair, ts").fetchall()
+    assert len(rows) == len(sql)
+    wrong = {c: (r["pair"], r["ts"], v, w) for r, q in zip(rows, sql) for c, v, w in zip(got.columns, r, q) if v != w}
+    assert not wrong
+    return got.columns, sql
+
+
+def test_yang_zhang_is_unknown_where_a_part_is(spark, zero_lows):
+    """A window with a low of 0 has no Rogers-Satchell part, so there is no sum of the three."""
+    _, sql = same_as_sql(spark, zero_lows, "stat_yang_zhang_vol")
+    known = [r[2] is not None for r in sql]
+    assert 100 < sum(known) < len(known) - 500
+
+
 def test_nan_counts_as_null(spark):
     """NaN in any bar column gives what null gives, and no NaN comes out."""
     bad, gap = walk(400), walk(400)

@@ -348,7 +348,7 @@ def _(b, period, annualize, trading_periods):
     k = 0.34 / (1.34 + (period + 1) / (period - 1))
     night = (b.o / b.c.lag()).ln().column().var(period)
     m = rogers_satchell(b).mean(period)
-    total = night + k * (b.c / b.o).ln().var(period) + (1 - k) * b.greatest(m, 0.0)
+    total = night + k * (b.c / b.o).ln().var(period) + (1 - k) * b.greatest(m, 0.0).when(m.known())
     return yearly(total.when(night.known()).sqrt(), annualize, trading_periods)
 
 
