@@ -127,6 +127,11 @@ def test_yang_zhang_is_unknown_where_a_part_is(spark, zero_lows):
     assert 100 < sum(known) < len(known) - 500
 
 
+@pytest.mark.parametrize("name", ["pipe_stat"])
+def test_presets_agree_with_sql_on_zero_lows(spark, zero_lows, name):
+    same_as_sql(spark, zero_lows, name)
+
+
 def test_nan_counts_as_null(spark):
     """NaN in any bar column gives what null gives, and no NaN comes out."""
     bad, gap = walk(400), walk(400)
