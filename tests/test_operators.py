@@ -127,7 +127,7 @@ def test_yang_zhang_is_unknown_where_a_part_is(spark, zero_lows):
     assert 100 < sum(known) < len(known) - 500
 
 
-@pytest.mark.parametrize("name", ["pipe_stat"])
+@pytest.mark.parametrize("name", ["pipe_stat", "pipe_all_ta"])
 def test_presets_agree_with_sql_on_zero_lows(spark, zero_lows, name):
     same_as_sql(spark, zero_lows, name)
 
